@@ -151,11 +151,9 @@ def _member_blocks(words: Sequence[str]) -> Column:
             line = node_stripped(parent)
 
             def split_at(sep: Column) -> Column:
-                left = F.substring_index(line, sep, 1)
-                right = line.substr(F.length(left) + 2, F.length(line))
-                return F.when(
-                    line.contains(sep) & is_person_name(strip(left), words), role_in(right)
-                )
+                at = F.instr(line, sep)
+                left, right = line.substr(F.lit(1), at - 1), line.substr(at + 1, F.length(line))
+                return F.when((at > 0) & is_person_name(strip(left), words), role_in(right))
 
             split_role = first_where(
                 F.transform(string_array(fv.ROLE_SEPARATORS), split_at), lambda r: r.isNotNull()

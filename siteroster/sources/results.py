@@ -13,9 +13,15 @@ LIST_SCHEMA = "title string, url string"
 
 
 def read_result_lists(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files, one array of ``{title, url}`` per query slug (the file name)."""
+    """JSON files, one array of ``{title, url}`` per query.
+
+    The query slug is the ``query_slug=…`` folder of the file, else its name.
+    """
     rows = spark.read.schema(LIST_SCHEMA).option("multiLine", True).json(path)
-    slug = F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
+    slug = F.coalesce(
+        F.nullif(F.regexp_extract("_metadata.file_path", "/query_slug=([^/]*)/", 1), F.lit("")),
+        F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1),
+    )
     return rows.select(
         slug.alias("query_slug"), F.monotonically_increasing_id().alias("rank"), "title", "url"
     ).where("title is not null")
