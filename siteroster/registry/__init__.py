@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["scalars", "tables", "extraction"]
+MODULES = ["scalars", "tables", "extraction", "joins"]
 
 
 def entries() -> dict:

@@ -202,8 +202,18 @@ def _tel(lead: str) -> str:
     return f"'<p>Tel: {lead}' || {TAG} || '</p>'"
 
 
+def _name(key: str) -> str:
+    return f"md5('site' || cast({key} as string))"
+
+
+# every sixteenth name resembles the one before it; some sites do not fit, some are shops
+SITE_NAME = f"case when s_suppkey % 16 = 15 then {_name('s_suppkey - 1')} || 'zz' else {_name('s_suppkey')} end"
+FITS = "s_suppkey % 13 <> 5"
+SHOP = "s_suppkey % 17 = 3"
 HOME_HTML = " || ".join([
-    "'<html><body><p>ring manufacturer</p>'", NL,
+    "'<html><head><meta property=\"og:site_name\" content=\"'", SITE_NAME, "'\"></head><body>'",
+    f"case when {FITS} then '<p>ring manufacturer</p>' else '<p>manufacturer</p>' end", NL,
+    f"case when {SHOP} then '<div>add to basket, payment, shipping, delivery, price, store</div><a>Cart</a><a>Cart</a>' else '' end", NL,
     f"case when {HOME_MAIL} then {_mail('home')} else '' end", NL,
     f"case when {HOME_PHONE} then {_tel('2711')} else '' end", NL, CONTACT_LINK,
 ])
@@ -236,8 +246,8 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
 def site_results(spark: SparkSession, sf: str) -> DataFrame:
     """One search result per supplier site; every tenth with a stock title."""
     return table(spark, sf, "supplier").select(
-        (F.col("s_suppkey") % 7).cast("int").alias("query_pos"),
-        F.concat(F.lit("query "), F.col("s_suppkey") % 7).alias("query"),
+        F.floor(F.col("s_suppkey") / 50).alias("query_pos"),
+        F.concat(F.lit("query "), F.floor(F.col("s_suppkey") / 50)).alias("query"),
         F.col("s_suppkey").alias("rank"),
         F.expr("case when s_suppkey % 10 = 9 then ' Home Page ' else 'Title ' || cast(s_suppkey as string) end").alias("title"),
         F.expr(f"{ROOT} || '/'").alias("url"),

@@ -442,10 +442,12 @@ def _s9(spark, sf):
     rows = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "run_id")
     config = run_config(runs, run_id, "search_queries array<string>, max_search_pages int")
     counted = run_results(rows, run_id).agg(F.count("*").alias("n_rows"))
-    return get_run(runs, run_id).select("id", "status", F.lit(1).alias("one")).join(
-        counted.withColumn("one", F.lit(1)), "one"
-    ).join(config.withColumn("one", F.lit(1)), "one").select(
-        "id", "status", "n_rows", "max_search_pages", F.size("search_queries").alias("n_queries")
+    return get_run(runs, run_id).select(
+        "id",
+        "status",
+        counted.scalar().alias("n_rows"),
+        config.select("max_search_pages").scalar().alias("max_search_pages"),
+        config.select(F.size("search_queries")).scalar().alias("n_queries"),
     )
 
 
