@@ -9,8 +9,9 @@ lower-case names.  The join around it never compares all names with all:
 * Order the bigrams of a name from rare to frequent.  Two names that share
   ``need`` bigrams share ``k`` of them inside their first
   ``n − need + k`` ones, so every k-subset of that head is a blocking key.
-* Length and shared-bigram tests run in the join; only survivors reach the
-  vectorised Python scorer.
+* Length and shared-bigram tests run in the join, the latter on bitmaps that
+  bound the shared number from above; only survivors reach the vectorised
+  Python scorer.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ from siteroster.session import materialize
 
 MIN_THRESHOLD = 0.85
 _BUCKETS = 1 << 16
+_WORDS = 4
+_MAX_HOT = 100_000
+GROUP_LIMIT = 50_000
 _EPS = 1e-9
 
 
@@ -52,7 +56,8 @@ def _ratio_at_least(threshold: float):
             )
         return pd.Series(out, dtype=bool)
 
-    return score
+    # Keeps the optimizer from scoring candidates before they are made distinct.
+    return score.asNondeterministic()
 
 
 def _need(length: int, threshold: float) -> int:
@@ -109,8 +114,40 @@ def _subsets(head: Column, size: int) -> Column:
     )
 
 
+def _gram_bits(tokens: Column) -> list[Column]:
+    """The bigram set hashed to a bitmap of four 64-bit words."""
+    places = F.transform(tokens, lambda t: F.pmod(F.hash(t), F.lit(64 * _WORDS)))
+
+    def word(w: int) -> Column:
+        mine = F.filter(places, lambda p: F.floor(p / 64) == w)
+        bits = F.aggregate(
+            mine,
+            F.lit(0).cast("bigint"),
+            lambda acc, p: acc.bitwiseOR(
+                F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(p, F.lit(64)))
+            ),
+        )
+        return bits.alias(f"bits{w}")
+
+    return [word(w) for w in range(_WORDS)]
+
+
+def _shared_at_most() -> Column:
+    """Upper bound of the bigrams two names share: each bit of one that the other
+    lacks stands for at least one bigram it lacks."""
+
+    def bound(x: str, y: str) -> Column:
+        lacking = F.lit(0)
+        for w in range(_WORDS):
+            lone = F.col(f"{x}.bits{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits{w}")))
+            lacking = lacking + F.bit_count(lone)
+        return F.col(f"{x}.n_grams") - lacking
+
+    return F.least(bound("a", "b"), bound("b", "a"))
+
+
 def blocking_keys(names: DataFrame, threshold: float, key_size: int) -> DataFrame:
-    """``sig, key, ord, tokens, n_sig`` for unique names ``key, ord``."""
+    """Blocking keys (``sig``) of unique names ``key, ord``, one row each."""
     if not MIN_THRESHOLD <= threshold <= 1:
         raise ValueError(f"threshold must lie in [{MIN_THRESHOLD}, 1]")
     grams = names.withColumn("token", F.explode(_bigrams(F.col("key")))).withColumn(
@@ -143,41 +180,65 @@ def blocking_keys(names: DataFrame, threshold: float, key_size: int) -> DataFram
     sigs = ranked.select(
         "key",
         "ord",
-        F.transform(tokens, lambda t: F.hash(t)).alias("tokens"),
+        length.alias("length"),
+        size.alias("n_grams"),
+        *_gram_bits(tokens),
         F.array_distinct(keys).alias("sigs"),
     )
-    return sigs.select(
-        F.explode("sigs").alias("sig"), "key", "ord", "tokens", F.size("sigs").alias("n_sig")
-    )
+    return sigs.withColumn("n_sig", F.size("sigs")).withColumn("sig", F.explode("sigs")).drop("sigs")
 
 
 def _may_match(threshold: float) -> Column:
-    la, lb = F.length("a.key"), F.length("b.key")
+    la, lb = F.col("a.length"), F.col("b.length")
     total = la + lb
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    # repeated hashes collapse in the intersection: allow for them
-    slack = F.greatest(
-        F.size("a.tokens") - F.size(F.array_distinct("a.tokens")),
-        F.size("b.tokens") - F.size(F.array_distinct("b.tokens")),
-    )
     return (
         (F.col("a.ord") < F.col("b.ord"))
         & (F.least(la, lb) * 2.0 >= total * (threshold - _EPS))
-        & (shared + slack >= total * (1.5 * threshold - 1) - 1 - _EPS)
+        & (_shared_at_most() >= total * (1.5 * threshold - 1) - 1 - _EPS)
     )
 
 
-def _score(heads: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+def _score(
+    heads: DataFrame, members: DataFrame, threshold: float, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Similar pairs between two key tables, earlier name first."""
+    heads, members = _spread(heads, members, group_limit)
+    same_group = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.salt") == F.col("b.salt"))
     pairs = (
         heads.alias("a")
-        .join(members.alias("b"), (F.col("a.sig") == F.col("b.sig")) & _may_match(threshold))
+        .join(members.alias("b"), same_group & _may_match(threshold))
         .select(F.col("a.key").alias("earlier"), F.col("b.key").alias("later"))
         .distinct()
     )
     return pairs.where(_ratio_at_least(threshold)("earlier", "later"))
 
 
+def _spread(
+    heads: DataFrame, members: DataFrame, group_limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Add ``salt``: members of a hot key go to several groups, its heads to each of them.
+
+    Keys below the limit are left alone.  At most ``_MAX_HOT`` keys can exceed
+    the limit used, so the list of hot keys may always be broadcast.
+    """
+    total = members.count()
+    limit = max(group_limit, total // _MAX_HOT)
+    if total <= limit:
+        return heads.withColumn("salt", F.lit(0)), members.withColumn("salt", F.lit(0))
+    sizes = members.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    hot = F.broadcast(
+        materialize(sizes.select("sig", F.ceil(F.col("n") / limit).cast("int").alias("salts")), "hot-keys")
+    )
+    salts = F.coalesce("salts", F.lit(1))
+    spread_heads = heads.join(hot, "sig", "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    spread_members = members.join(hot, "sig", "left").withColumn(
+        "salt", F.pmod(F.hash("key"), salts)
+    )
+    return spread_heads, spread_members
+
+
 def _unique_names(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     rows = df.select(name_key(F.col(name)).alias("key"), F.struct(*order).alias("ord"))
     return rows.groupBy("key").agg(F.min("ord").alias("ord"))
@@ -196,7 +257,11 @@ def similar_name_pairs(
 
 
 def kept_names(
-    names: DataFrame, threshold: float = 0.85, key_size: int = 2, head_size: int = 64
+    names: DataFrame,
+    threshold: float = 0.85,
+    key_size: int = 2,
+    head_size: int = 8,
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Names a first-come-first-kept pass would keep, computed in rounds.
 
@@ -205,7 +270,7 @@ def kept_names(
     under all of its keys has then met every earlier open name it could
     resemble and can be decided; names similar to a kept one drop out at once.
     So a large group of near-copies costs one pass over the group, not its
-    square.  ``head_size`` doubles per round: the number of rounds is
+    square.  ``head_size`` grows eightfold per round: the number of rounds is
     logarithmic in the largest group, and no pair is ever left out.
     """
     open_keys = materialize(blocking_keys(names, threshold, key_size), "open-names")
@@ -214,7 +279,7 @@ def kept_names(
     while not open_keys.isEmpty():
         place = F.row_number().over(Window.partitionBy("sig").orderBy("ord"))
         heads = open_keys.withColumn("place", place).where(F.col("place") <= head_size)
-        edges = materialize(_score(heads, open_keys, threshold), "name-edges")
+        edges = materialize(_score(heads, open_keys, threshold, group_limit), "name-edges")
         settled = (
             heads.groupBy("key")
             .agg(F.count("*").alias("n"), F.first("n_sig").alias("n_sig"))
@@ -226,7 +291,7 @@ def kept_names(
         kept = materialize(kept.unionByName(new_kept), "kept-names")
         done = new_kept.unionByName(dropped).distinct()
         open_keys = materialize(open_keys.join(done, "key", "left_anti"), "open-names")
-        head_size *= 2
+        head_size *= 8
     return kept
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteroster.config import DirectoryConfig
@@ -20,6 +22,12 @@ def read_parsed(pages: DataFrame) -> DataFrame:
 
 def contact_columns(config: DirectoryConfig) -> dict[str, Column]:
     """Field rules over a parsed row; ``person`` is a (name, role) struct."""
+    return _contact_columns(config, SparkSession.active().sparkContext.applicationId)
+
+
+@lru_cache(maxsize=8)
+def _contact_columns(config: DirectoryConfig, application: str) -> dict[str, Column]:
+    # Expressions do not depend on data: built once per application, used per batch and visit.
     return {
         "email": contact.email(),
         "phone": contact.phone(config.phone_patterns, config.phone_prefixes),

@@ -171,14 +171,16 @@ def _d4(spark, sf):
 D4_SQL = "select c_custkey as ord, md5(cast(c_custkey as string)) as name from customer"
 
 
-def _d4_suppliers(spark, sf):
-    """All supplier names resemble each other: one group of near copies."""
-    return dedup_similar_names(table(spark, sf, "supplier"), ["s_suppkey"], "s_name").select("s_suppkey", "s_name")
+COPY_NAME = "'Common Supplies Group International ' || lpad(cast(c_custkey % 1000000 as string), 6, '0')"
 
 
-# "Supplier#" and nine digits: any two share at least the first fifteen of eighteen characters
-# as long as the last three digits are all that differs
-D4_SUPPLIERS_SQL = "select s_suppkey, s_name from supplier where s_suppkey = (select min(s_suppkey) from supplier)"
+def _d4_copies(spark, sf):
+    """One group of near copies: any two names share 36 of 42 characters or more."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.expr(COPY_NAME).alias("name"))
+    return dedup_similar_names(rows, ["c_custkey"], "name")
+
+
+D4_COPIES_SQL = f"select c_custkey, {COPY_NAME} as name from customer where c_custkey = (select min(c_custkey) from customer)"
 
 
 def _d5(spark, sf):
@@ -305,7 +307,7 @@ ENTRIES: dict[str, Entry] = {
     "j5_check_phone_country": (_j5, J5_SQL),
     "j7_similar_name_pairs": (_j7, J7_SQL),
     "d4_dedup_similar_names": (_d4, D4_SQL),
-    "d4_dedup_near_copies": (_d4_suppliers, D4_SUPPLIERS_SQL),
+    "d4_dedup_near_copies": (_d4_copies, D4_COPIES_SQL),
     "d5_deduplicate": (_d5, D5_SQL),
     "e11_build_directory": (_e11, E11_SQL),
 }
