@@ -239,6 +239,11 @@ def _spread(
     return spread_heads, spread_members
 
 
+def default_key_size(names: DataFrame) -> int:
+    """More names need more selective keys; the result is the same for any size."""
+    return 2 if names.count() <= 50_000 else 3
+
+
 def _unique_names(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     rows = df.select(name_key(F.col(name)).alias("key"), F.struct(*order).alias("ord"))
     return rows.groupBy("key").agg(F.min("ord").alias("ord"))
@@ -249,18 +254,20 @@ def similar_name_pairs(
     order: Sequence[str],
     name: str = "name",
     threshold: float = 0.85,
-    key_size: int = 2,
+    key_size: int | None = None,
 ) -> DataFrame:
     """All pairs ``earlier, later`` of distinct names at or above the threshold."""
-    keys = blocking_keys(_unique_names(df, name, order), threshold, key_size)
+    names = materialize(_unique_names(df, name, order), "unique-names")
+    size = key_size or default_key_size(names)
+    keys = materialize(blocking_keys(names, threshold, size), "name-keys")
     return _score(keys, keys, threshold)
 
 
 def kept_names(
     names: DataFrame,
     threshold: float = 0.85,
-    key_size: int = 2,
-    head_size: int = 8,
+    key_size: int | None = None,
+    head_size: int = 1,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Names a first-come-first-kept pass would keep, computed in rounds.
@@ -273,7 +280,8 @@ def kept_names(
     square.  ``head_size`` grows eightfold per round: the number of rounds is
     logarithmic in the largest group, and no pair is ever left out.
     """
-    open_keys = materialize(blocking_keys(names, threshold, key_size), "open-names")
+    size = key_size or default_key_size(names)
+    open_keys = materialize(blocking_keys(names, threshold, size), "open-names")
     # Names without a bigram resemble nothing but themselves.
     kept = names.where(F.length("key") < 2).select("key")
     while not open_keys.isEmpty():
@@ -331,7 +339,7 @@ def dedup_similar_names(
     order: Sequence[str],
     name: str = "company_name",
     threshold: float = 0.85,
-    key_size: int = 2,
+    key_size: int | None = None,
 ) -> DataFrame:
     """Drop a row when an earlier row that was itself kept has a similar name."""
     keyed = df.withColumn("_key", name_key(F.col(name)))

@@ -45,7 +45,7 @@ S1_SQL = "select page_id, url, md5(html) as html_md5 from pages where html is no
 TEXT_CTE = """
 t as (select page_id, url,
         replace(replace(replace(replace(
-          regexp_replace(regexp_replace(html, '<!--.*?-->|<style>.*?</style>|<script>.*?</script>|<!DOCTYPE[^>]*>', '', 'gs'), '<[^>]*>', '', 'g'),
+          regexp_replace(regexp_replace(regexp_replace(html, '&(amp|quot|copy|middot)<', '&\\1;<', 'g'), '<!--.*?-->|<style>.*?</style>|<script>.*?</script>|<!DOCTYPE[^>]*>', '', 'gs'), '<[^>]*>', '', 'g'),
           '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), '&amp;', '&') as text
       from pages)
 """

@@ -89,7 +89,7 @@ def _j4(spark, sf):
     rows = _gap_rows(spark, sf).withColumnRenamed("c_custkey", "page_id").withColumn(
         "company_name", F.lit(None).cast("string")
     )
-    model = table(spark, sf, "customer").where("c_custkey % 9 > 0").select(
+    model = table(spark, sf, "customer").where("c_acctbal > 0").select(
         F.col("c_custkey").alias("page_id"),
         *[F.expr(v).alias(k) for k, v in MODEL.items()],
         F.expr("case when c_custkey % 2 = 0 then c_name end").alias("company_name"),
@@ -101,7 +101,7 @@ _ANY_GAP = "(g.email is null or g.phone is null or g.country is null or g.state
 J4_SQL = f"""
 with g as (select c_custkey as page_id, {GAP_SELECT} from customer),
      m as (select c_custkey as page_id, c_name, {', '.join(f"nullif(trim({v}), '') as {k}" for k, v in MODEL.items())}
-           from customer where c_custkey % 9 > 0)
+           from customer where c_acctbal > 0)
 select page_id, {', '.join(f"coalesce(g.{k}, m.{k}) as {k}" for k in GAP)},
        case when {_ANY_GAP} and page_id % 2 = 0 then m.c_name end as company_name
 from g left join m using (page_id)
@@ -133,11 +133,11 @@ select page_id, phone, case when country is null then null else coalesce(owner,
 from c left join h using (page_id)
 """
 
-# ---- similar names: each customer's digest and two near copies of it -------------
+# ---- similar names: each supplier's digest and two near copies of it -------------
 NAMES = {
-    0: "md5(cast(c_custkey as string))",
-    1: "'  ' || upper(md5(cast(c_custkey as string))) || 'ZZ '",
-    2: "'q' || substring(md5(cast(c_custkey as string)), 1, 30)",
+    0: "md5(cast(s_suppkey as string))",
+    1: "'  ' || upper(md5(cast(s_suppkey as string))) || 'ZZ '",
+    2: "'q' || substring(md5(cast(s_suppkey as string)), 1, 30)",
 }
 
 
@@ -145,10 +145,10 @@ def _names(spark, sf):
     copies = F.array(*[
         F.struct(F.lit(i).alias("copy"), F.expr(n).alias("name")) for i, n in NAMES.items()
     ])
-    rows = table(spark, sf, "customer").select("c_custkey", F.explode(copies).alias("c"))
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.explode(copies).alias("c"))
     return rows.select(
-        (F.col("c.copy") * 10000000 + F.col("c_custkey")).alias("ord"), "c.name",
-        F.concat(F.lit("https://h"), F.col("c_custkey") % 700, F.lit("-"), "c.copy", F.lit(".org/")).alias("url"),
+        (F.col("c.copy") * 10000000 + F.col("s_suppkey")).alias("ord"), "c.name",
+        F.concat(F.lit("https://h"), F.col("s_suppkey") % 70, F.lit("-"), "c.copy", F.lit(".org/")).alias("url"),
     )
 
 
@@ -157,7 +157,7 @@ def _j7(spark, sf):
 
 
 J7_SQL = """
-with k as (select md5(cast(c_custkey as string)) as a from customer)
+with k as (select md5(cast(s_suppkey as string)) as a from supplier)
 select a as earlier, a || 'zz' as later from k
 union all select a, 'q' || left(a, 30) from k
 union all select a || 'zz', 'q' || left(a, 30) from k
@@ -168,7 +168,7 @@ def _d4(spark, sf):
     return dedup_similar_names(_names(spark, sf), ["ord"], "name").select("ord", "name")
 
 
-D4_SQL = "select c_custkey as ord, md5(cast(c_custkey as string)) as name from customer"
+D4_SQL = "select s_suppkey as ord, md5(cast(s_suppkey as string)) as name from supplier"
 
 
 COPY_NAME = "'Common Supplies Group International ' || lpad(cast(c_custkey % 1000000 as string), 6, '0')"
@@ -187,11 +187,11 @@ def _d5(spark, sf):
     return deduplicate(_names(spark, sf), ["ord"], "name").select("ord", "name")
 
 
-# per host (customer key modulo 700, and copy) the first row stays, then similar names go
+# per host (supplier key modulo 70, and copy) the first row stays, then similar names go
 D5_SQL = """
-with f as (select c_custkey, md5(cast(c_custkey as string)) as a from customer
-           qualify row_number() over (partition by c_custkey % 700 order by c_custkey) = 1)
-select c_custkey as ord, a as name from f
+with f as (select s_suppkey, md5(cast(s_suppkey as string)) as a from supplier
+           qualify row_number() over (partition by s_suppkey % 70 order by s_suppkey) = 1)
+select s_suppkey as ord, a as name from f
 """
 
 # ---- the whole directory -----------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteroster.config import DirectoryConfig
 from siteroster.registry.base import choose, table
+from siteroster.session import spread
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 CONFIG = DirectoryConfig.sample(
@@ -103,7 +104,7 @@ CONTACT_FROM = "customer join nation on c_nationkey = n_nationkey"
 
 
 def contact_pages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "customer").join(
+    rows = spread(table(spark, sf, "customer")).join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
     return rows.select(
@@ -143,7 +144,7 @@ PERSON_ROLE = choose("c_custkey", TEAM_ROLE + [
 
 
 def people_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         F.col("c_custkey").alias("page_id"), F.expr(URL).alias("url"),
         F.expr(f"'<html><body>' || {PEOPLE_HTML} || '</body></html>'").alias("html"),
     )
@@ -165,7 +166,7 @@ SHOP_COUNT = "(1 + p_size % 5 + p_partkey % 3)"
 
 
 def shop_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         F.col("p_partkey").alias("page_id"), F.lit("https://s.org/").alias("url"),
         F.expr(SHOP_HTML).alias("html"),
     )
@@ -229,7 +230,7 @@ ABOUT_HTML = " || ".join([
 
 
 def site_pages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "supplier").join(
+    rows = spread(table(spark, sf, "supplier")).join(
         table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     )
     kinds = [(f"{ROOT} || '/'", HOME_HTML), (CONTACT_URL, SUB_HTML), (ABOUT_URL, ABOUT_HTML)]

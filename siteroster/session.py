@@ -30,6 +30,15 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan of a few small files over all cores for CPU-bound work.
+
+    A large table has more splits than cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a scratch one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteroster.session import spread
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, url, html``; pages that could not be fetched are left out.
 
-    Parsing is bound by CPU, so a handful of small files is spread over all
-    cores.  A large table has more splits than cores and is left as it is.
-    """
-    pages = spark.read.parquet(path).select("page_id", "url", "html").where(F.col("html").isNotNull())
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, url, html``; pages that could not be fetched are left out."""
+    pages = spark.read.parquet(path).select("page_id", "url", "html")
+    return spread(pages.where(F.col("html").isNotNull()))
