@@ -198,19 +198,22 @@ def _may_match(threshold: float) -> Column:
     )
 
 
-def _score(
-    heads: DataFrame, members: DataFrame, threshold: float, group_limit: int = GROUP_LIMIT
+def _candidates(
+    heads: DataFrame, members: DataFrame, threshold: float, group_limit: int
 ) -> DataFrame:
-    """Similar pairs between two key tables, earlier name first."""
+    """Pairs sharing a key that pass the length and bigram bounds, earlier name first."""
     heads, members = _spread(heads, members, group_limit)
     same_group = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.salt") == F.col("b.salt"))
-    pairs = (
+    return (
         heads.alias("a")
         .join(members.alias("b"), same_group & _may_match(threshold))
         .select(F.col("a.key").alias("earlier"), F.col("b.key").alias("later"))
-        .distinct()
     )
-    return pairs.where(_ratio_at_least(threshold)("earlier", "later"))
+
+
+def _score(candidates: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs that are similar."""
+    return candidates.distinct().where(_ratio_at_least(threshold)("earlier", "later"))
 
 
 def _spread(
@@ -260,7 +263,7 @@ def similar_name_pairs(
     names = materialize(_unique_names(df, name, order), "unique-names")
     size = key_size or default_key_size(names)
     keys = materialize(blocking_keys(names, threshold, size), "name-keys")
-    return _score(keys, keys, threshold)
+    return _score(_candidates(keys, keys, threshold, GROUP_LIMIT), threshold)
 
 
 def kept_names(
@@ -274,8 +277,8 @@ def kept_names(
 
     Per round only the first ``head_size`` open names of each blocking key
     (the heads) are compared with the names after them.  A name that is a head
-    under all of its keys has then met every earlier open name it could
-    resemble and can be decided; names similar to a kept one drop out at once.
+    under all of its keys is settled: every earlier open name it could resemble
+    is a head too, so it can be decided; names similar to a kept one drop out.
     So a large group of near-copies costs one pass over the group, not its
     square.  ``head_size`` grows eightfold per round: the number of rounds is
     logarithmic in the largest group, and no pair is ever left out.
@@ -287,7 +290,7 @@ def kept_names(
     while not open_keys.isEmpty():
         place = F.row_number().over(Window.partitionBy("sig").orderBy("ord"))
         heads = open_keys.withColumn("place", place).where(F.col("place") <= head_size)
-        edges = materialize(_score(heads, open_keys, threshold, group_limit), "name-edges")
+        heads = materialize(heads, "name-heads")
         settled = (
             heads.groupBy("key")
             .agg(F.count("*").alias("n"), F.first("n_sig").alias("n_sig"))
@@ -295,6 +298,11 @@ def kept_names(
             .select("key")
         )
         settled = materialize(settled, "settled-names")
+        # Only settled names can be kept now.  That takes what they resemble
+        # before them, and what resembles them after; other pairs can wait.
+        after = _candidates(heads.join(settled, "key", "left_semi"), open_keys, threshold, group_limit)
+        before = _candidates(heads, open_keys.join(settled, "key", "left_semi"), threshold, group_limit)
+        edges = materialize(_score(after.unionByName(before), threshold), "name-edges")
         new_kept, dropped = _decide(edges, settled)
         kept = materialize(kept.unionByName(new_kept), "kept-names")
         done = new_kept.unionByName(dropped).distinct()
