@@ -56,8 +56,8 @@ def wanted_sites(results: DataFrame) -> DataFrame:
 
 
 def visit(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """Pages whose URL is listed."""
-    return pages.join(urls.select("url").distinct(), "url", "left_semi")
+    """Fetched pages whose URL is listed."""
+    return pages.where("html is not null").join(urls.select("url").distinct(), "url", "left_semi")
 
 
 def _attach_model(rows: DataFrame, model: DataFrame | None) -> DataFrame:

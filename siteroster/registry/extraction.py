@@ -331,7 +331,7 @@ def _p6(spark, sf):
 
 
 P6_SQL = f"""
-select p_partkey as page_id, {r.SHOP_SCORE} as text_score, {r.SHOP_COUNT} as element_count,
+select p_partkey as page_id, {r.SHOP_SCORE} as text_score, cast({r.SHOP_COUNT} as int) as element_count,
        {r.SHOP_SCORE} >= 6 and {r.SHOP_COUNT} >= 3 as is_shop
 from part
 """

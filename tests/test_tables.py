@@ -243,3 +243,16 @@ def test_stream_equals_batch_and_replays_add_nothing(spark, tmp_path):
     run("lost-state")  # every batch again
     assert spark.read.parquet(sink).count() == table.count()
     assert finalize(spark, sink, drop_duplicates=False).count() == table.count()
+
+
+def test_probing_reads_only_urls(spark, tmp_path):
+    from siteroster.operators.fill import probe_table
+
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(
+        [(1, "https://a.org/contact", None), (2, "https://a.org/", "<p>x</p>")],
+        "page_id bigint, url string, html string").write.parquet(path)
+    known = read_pages(spark, path, fetched_only=False).select("url")
+    plan = probe_table(known, ["contact"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<url:string>" in plan
+    assert read_pages(spark, path).count() == 1
