@@ -26,6 +26,7 @@ from siteroster.operators.results import parse_result_pages
 from siteroster.plans.contacts import extract_contacts, read_parsed
 from siteroster.registry import rendered as r
 from siteroster.registry.base import Entry, sql_list, sql_values, table
+from siteroster.session import spread
 from siteroster.sources.pages import read_pages
 
 CFG = r.CONFIG
@@ -148,7 +149,7 @@ def _e1_pages(spark, sf):
 
 
 def _e1_documents(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return docs.select("doc_id", contact.email(all_emails("text")).alias("email"))
 
 
@@ -159,7 +160,7 @@ def _e1_rendered(spark, sf):
 
 # ---- E2 over documents ---------------------------------------------------------
 def _e2_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.array("text").alias("pieces"))
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.array("text").alias("pieces"))
     phone = contact.phone(CFG.phone_patterns, CFG.phone_prefixes)
     return with_text(docs).select("doc_id", phone.alias("phone"))
 
