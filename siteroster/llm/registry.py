@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["packing", "quality", "secrets"]
+MODULES = ["decontamination", "packing", "quality", "secrets"]
 
 
 def entries() -> dict:
