@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontamination", "packing", "quality", "secrets", "simhash"]
+MODULES = ["decontamination", "packing", "quality", "resampling", "secrets", "simhash"]
 
 
 def entries() -> dict:
