@@ -17,8 +17,11 @@ columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BINS = "bin long, used int, done boolean, members binary"
 MEMBER = np.dtype([("doc", "<i8"), ("no_doc", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"),
                    ("crc", "<u4"), ("offset", "<i4")])
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, and texts that it reads at a time.
+REMEMBERED, TOGETHER = 800_000, 256
 
 
 def default_tokenizer() -> str:
@@ -42,42 +45,88 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A full stop and the like behind a letter or digit is a token of its own, as after white space.
+MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=\s|$)")
+
+
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
 class WordIds:
-    """Ids of white-space separated words: this vocabulary's tokens never cross white space."""
+    """Ids of texts, word by word: this vocabulary's tokens never cross white space, and are those of lower case.
+
+    A worker keeps the ids of the first ``REMEMBERED`` words it meets, which has the frequent ones among them.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def of(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
-        found = text.encode("utf-8", "surrogatepass").split()
-        missing = [w for w in set(found) if w not in self.known]
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        # words of Latin letters have one word end each, so many can be coded as one text
+        plain = [w for w in missing if PLAIN.fullmatch(w)]
+        rest = list(missing.difference(plain))
+        found = {w: ids.tobytes() for w, ids in zip(
+            rest, self._coded([w.decode("utf-8", "replace") for w in rest]))}
+        if plain:
+            ids = self._coded([b" ".join(plain).decode()])[0]
+            ends = ((np.flatnonzero(self.word_end[ids]) + 1) * 4).tolist()
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer does not end every word with a word-end token")
+            coded = ids.tobytes()
+            found.update(zip(plain, [coded[i:j] for i, j in zip([0, *ends], ends)]))
+        return found
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts as little-endian unsigned 32-bit numbers."""
+        raw = [text.encode("utf-8", "surrogatepass") for text in texts]
+        lower = [r.lower() for r in raw]
+        odd = [any(token in r for token in self.special) for r in lower]
+        found = [[] if o else MARKS.sub(rb" \1", r).split() for r, o in zip(lower, odd)]
+        known = self.known
+        missing = set().union(*found).difference(known)
         if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known, missing = {}, list(set(found))
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            for word, ids in zip(missing, coded):
-                self.known[word] = np.array(ids.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, found))
+            new = self._new(missing)
+            if len(known) < REMEMBERED:
+                known.update(new)
+            else:
+                known = ChainMap(new, known)
+        return [self._coded([text])[0].tobytes() if o else b"".join(map(known.__getitem__, words))
+                for text, words, o in zip(texts, found, odd)]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process: its memory serves all tasks that the worker runs."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer)
+        ids = word_ids(tokenizer)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                coded = ids.of(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(coded), 4 * capacity)):
-                    part = coded[at:at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield _batch(rows, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()],
-                         ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                rows: list[tuple] = []
+                texts = [text or "" for text in part.column(1).to_pylist()]
+                for doc, coded in zip(part.column(0).to_pylist(), ids.of(texts)):
+                    coded += end
+                    for piece, first in enumerate(range(0, len(coded), 4 * capacity)):
+                        cut_ids = coded[first:first + 4 * capacity]
+                        rows.append((doc, piece, first // 4, len(cut_ids) // 4, zlib.crc32(cut_ids)))
+                yield _batch(rows, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()],
+                             ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
