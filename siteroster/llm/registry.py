@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontamination", "html", "lm_scoring", "packing", "quality", "resampling", "secrets", "simhash"]
+MODULES = ["decontamination", "html", "licenses", "lm_scoring", "packing", "quality", "resampling", "secrets",
+           "simhash"]
 
 
 def entries() -> dict:
