@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteroster.llm.sampling import chosen_by_hash
 from siteroster.llm.words import WORD, text_or_empty, words
 
 #: Kinds in their listed order, the patterns of the base scan, least lengths.
@@ -47,9 +48,8 @@ def random_samples(spark: SparkSession, count: int) -> DataFrame:
 
 
 def identifier_samples(docs: DataFrame, documents: int) -> DataFrame:
-    """Words of a bounded sample of documents (lowest hash of the id first), plain and joined as identifiers."""
-    sample = docs.select("doc_id", text_or_empty().alias("text")).orderBy(
-        F.xxhash64("doc_id"), F.xxhash64("text")).limit(documents)
+    """Words of a sample of about ``documents`` documents (lowest hashes of the id), plain and joined as identifiers."""
+    sample = docs.where(chosen_by_hash(docs, "doc_id", documents)).select(text_or_empty().alias("text"))
     plain = F.filter(words(F.regexp_replace("text", "[^A-Za-z]+", " ")), lambda w: F.length(w) >= 3)
     pair = sample.select(plain.alias("all")).select(F.explode(F.zip_with(
         "all", F.slice("all", 2, F.size("all")),
