@@ -7,7 +7,7 @@ Gumbel noise drawn from a hash of its id; the k largest keys are a sample withou
 replacement in proportion to the weights.
 
 The raw counts cover every document. The target is fitted on a bounded sample of
-labelled rows (``max_labels``, lowest hash of the id first). k is ``share`` of all
+labelled rows (about ``max_labels``, those with the lowest hashes of the id). k is ``share`` of all
 rows; by default the share of good labels raised by ``margin``, so that the
 sample has room for all documents of the target's kind.
 
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteroster.llm.sampling import chosen_by_hash
 from siteroster.session import materialize
 
 WORD = re.compile(r"\w+|[^\w\s]+")
@@ -132,8 +133,8 @@ def resample(
     buckets: int = 16_384, max_labels: int = 20_000, smoothing: float = 1.0, seed: int = 17,
 ) -> DataFrame:
     """``doc_id, n_grams, log_weight, key, kept`` for every document."""
-    sample = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").orderBy(
-        F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels).collect()
+    labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    sample = labels.where(chosen_by_hash(labels, "doc_id", max_labels)).collect()
     good = [r["doc_id"] for r in sample if r["quality"] == 1]
     if share is None:
         share = min(1.0, len(good) / len(sample) + margin) if sample else 1.0
