@@ -4,8 +4,8 @@ Counts of all training words are gathered by Spark. The ``known`` most frequent
 words go to the tasks (a bounded table); rarer words of a document are joined to
 the counts, so every word is scored with its exact count. The recurrent model's
 classes, biases and word shares come from these counts; its weights are fitted on
-a bounded sample of training documents (``train_docs`` documents of lowest id
-hash, until ``train_tokens`` tokens are reached).
+a bounded sample of training documents (about ``train_docs`` documents of lowest
+id hash, until ``train_tokens`` tokens are reached).
 
 Defined results: null and empty texts are one end token; a null id trains;
 repeated rows train and are scored each; texts of any length are read whole;
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteroster.llm.recurrent_lm import END, Model, Vocabulary, score_documents, train
+from siteroster.llm.sampling import chosen_by_hash
 from siteroster.session import materialize
 
 #: Words a counting task holds, and tokens a scoring task holds, before it hands rows on.
@@ -64,12 +65,30 @@ def word_counts(docs: DataFrame) -> DataFrame:
         F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, known: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``known`` words: all whose count is over a limit, most frequent first.
+
+    The limit comes from how many words lie in each sixteenth of a power of two,
+    so nothing is ordered or gathered but these words.
+    """
+    words = counts.where(F.length("word") > 0).withColumn("level", F.floor(F.log2("n") * 16))
+    limit, total = None, 0
+    for row in sorted(words.groupBy("level").count().collect(), reverse=True):
+        total += row["count"]
+        if total > known:
+            break
+        limit = row["level"]
+    table = words.where(F.col("level") >= limit).select("word", "n").toArrow() if limit is not None else None
+    found = sorted(zip(table.column("n").to_pylist(), table.column("word").to_pylist()),
+                   key=lambda x: (-x[0], x[1])) if table else []
+    return [w for _, w in found], np.array([n for n, _ in found], np.int64)
+
+
 def _sample(docs: DataFrame, vocabulary: Vocabulary, train_docs: int, train_tokens: int) -> list[np.ndarray]:
-    ids = [r[0] for r in docs.select("doc_id").where(
-        "doc_id is not null and crc32(cast(doc_id as string)) % 7 <> 2").orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(train_docs).collect()]
+    training = docs.where("not coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)")
+    chosen = training.where(chosen_by_hash(training, "doc_id", train_docs))
     sample, total = [], 0
-    for row in docs.where(F.col("doc_id").isin(sorted(set(ids)))).select("text").toLocalIterator():
+    for row in chosen.select("text").toLocalIterator():
         if total >= train_tokens:
             break
         coded = encode(vocabulary, tokens(row[0]))
@@ -136,10 +155,9 @@ def lm_scores(docs: DataFrame, known: int = 200_000, train_docs: int = 1200, tra
     total, distinct, ends = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)),
         F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col("n"))), F.lit(0))).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(known).toArrow()
-    top_counts = top.column("n").to_numpy()
+    words, top_counts = frequent_words(counts, known)
     in_top = int(top_counts.sum()) + ends
-    vocabulary = Vocabulary(top.column("word").to_pylist(), top_counts, ends,
+    vocabulary = Vocabulary(words, top_counts, ends,
                             total - in_top, distinct - len(top_counts) - (ends > 0))
     model = train(vocabulary, _sample(docs, vocabulary, train_docs, train_tokens))
     scored = materialize(docs.mapInArrow(_scorer(vocabulary, model), SCORED), "lm-scored")
