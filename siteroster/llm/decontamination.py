@@ -187,3 +187,25 @@ def _searcher(index: Index, threshold: float, overlap: float, size: int):
                 ["doc_id", "item_id", "at_word", "bm25", "question_overlap", "answer_overlap"])
 
     return search
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8, size: int = 5,
+                k1: float = 1.2, b: float = 0.75, block: int = 16, block_items: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` without a leaked item, with all their columns; one narrow pass for each block of items."""
+
+    def keeper(index: Index, text_at: int):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([
+                    not (index.ids and text.is_valid and index.leaks(text.as_py(), threshold, overlap, size))
+                    for text in batch.column(text_at)], pa.bool_()))
+
+        return keep
+
+    items = benchmark.select("item_id", "text").toLocalIterator()
+    while chunk := [(r[0], r[1]) for r in islice(items, block_items)]:
+        index = Index(chunk, k1, b, block, size, threshold)
+        docs = docs.mapInArrow(keeper(index, docs.columns.index("text")), docs.schema)
+        if len(chunk) == block_items:
+            docs = materialize(docs, "clean")
+    return docs

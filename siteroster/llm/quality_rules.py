@@ -18,21 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteroster.llm.words import SPACE_CHARS, ascii_lower, lines, text_or_empty, words
+from siteroster.session import materialize
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
+def base_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
     """One row per input row: ``doc_id, source``, the text's hash, and the counts of the base rules.
 
+    With ``carry``, ``row`` holds the whole input row.
+
     A window of eight words is a 64-bit hash of its words' hashes. Only texts
     with a repeated window sort theirs; a run of repeated windows covers its
     words once, so the count is a sum over the gaps between their starts.
     """
-    text = F.col("text")
-    counted = docs.select("doc_id", "source", text_or_empty().alias("text")).select(
-        "doc_id", "source", F.xxhash64("text").alias("text_key"),
+    text, row = F.col("text"), ["row"] if carry else []
+    whole = [F.struct(*docs.columns).alias("row")] if carry else []
+    counted = docs.select("doc_id", "source", text_or_empty().alias("text"), *whole).select(
+        "doc_id", "source", *row, F.xxhash64("text").alias("text_key"),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines(text).alias("lines"),
@@ -42,7 +46,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     windows = F.when(n >= WINDOW, F.transform(
         F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))))
     counted = counted.select(
-        "doc_id", "source", "text_key", "word_chars", "n_symbols", n.cast("long").alias("n_words"),
+        "doc_id", "source", *row, "text_key", "word_chars", "n_symbols", n.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
     )
@@ -58,7 +62,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(
         F.zip_with("starts", F.slice("starts", 2, F.size("starts")), lambda a, b: F.coalesce(b - a, F.lit(WINDOW))),
         F.lit(0).cast("long"), lambda total, gap: total + F.least(gap, F.lit(WINDOW)))
-    return counted.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("starts")
+    counted = counted.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("starts")
+    # through a generator no later filter moves down to repeat the steps above in its condition
+    return counted.select(F.explode(F.array(F.struct("*"))).alias("counts")).select("counts.*") if carry else counted
 
 
 def boilerplate_lines(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
@@ -82,25 +88,32 @@ def _document_lines(docs: DataFrame) -> DataFrame:
 
 def quality_rules(
     docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30,
-    min_docs: int = 10, share: float = 0.1, min_left: float = 0.3,
+    min_docs: int = 10, share: float = 0.1, min_left: float = 0.3, carry: bool = False,
 ) -> DataFrame:
     """Counts, ``base_failed``, ``removed_words`` and ``kept`` for every row of ``doc_id, text, source``."""
-    base = base_counts(docs).withColumn(
+    base = base_counts(docs, carry).withColumn(
         "base_failed", (F.col("n_words") < min_words)
         | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     limits = boilerplate_lines(docs, min_docs, share).select(
         F.col("source").alias("b_source"), F.col("line").alias("b_line"))
     hits = _document_lines(docs).join(
         limits, (F.col("line") == F.col("b_line")) & F.col("source").eqNullSafe(F.col("b_source")), "left_semi")
-    removed = hits.groupBy("doc_id", "source", "text_key", "line").agg(
+    # a table, so that the join below knows its size: few documents hold boilerplate lines
+    removed = materialize(hits.groupBy("doc_id", "source", "text_key", "line").agg(
         F.max("line_words").alias("line_words")).groupBy(
         F.col("doc_id").alias("r_doc"), F.col("source").alias("r_source"), F.col("text_key").alias("r_key")).agg(
-        F.sum("line_words").alias("removed_words"))
+        F.sum("line_words").alias("removed_words")), "boilerplate")
     joined = base.join(removed, (
         F.col("text_key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_doc"))
         & F.col("source").eqNullSafe(F.col("r_source")), "left")
     left = F.col("n_words") - F.coalesce(F.col("removed_words"), F.lit(0))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", *(["row"] if carry else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed",
         F.coalesce(F.col("removed_words"), F.lit(0)).cast("long").alias("removed_words"),
-        (~F.col("base_failed") & (left >= min_left * F.col("n_words"))).alias("kept"), "source", "text_key")
+        (~F.col("base_failed") & (left >= min_left * F.col("n_words"))).alias("kept"))
+
+
+def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return quality_rules(docs, carry=True, **limits).where("kept").select("row.*")

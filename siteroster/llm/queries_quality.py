@@ -9,7 +9,7 @@ from siteroster.llm.quality_rules import quality_rules
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return quality_rules(docs).drop("source", "text_key")
+    return quality_rules(docs)
 
 
 SQL = r"""

@@ -63,14 +63,16 @@ BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitor
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint's bits as a signed long."""
+    """``doc_id, text_key, fp``: a hash of the text, and the fingerprint's bits as a signed long."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(
+        read, "doc_id long, text_key long, fp long")
 
 
 def _parity(words: np.ndarray) -> np.ndarray:
@@ -213,12 +215,31 @@ def near_links(distinct: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, limit: int = 3, size: int = 3) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; the component is the smallest id that links reach."""
+    """``doc_id, text_key, fp, root, component_id`` for every row.
+
+    The component is the smallest id that links reach; the root is one of its fingerprints.
+    """
     prints = materialize(fingerprints(docs, size), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-prints")
     roots = components(materialize(near_links(distinct, limit), "links"))
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = classes.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, limit: int = 3, size: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id, then text hash; rows without id last."""
+    found = near_duplicates(docs, limit, size)
+    # least of a struct would put null first
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    keepers = materialize(found.groupBy("root").agg(F.min(order).alias("k")).select(
+        F.col("k.doc_id").alias("k_doc"), F.col("k.text_key").alias("k_text")), "keepers")
+    # an id may stand in components of different texts; each keeps its own row
+    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_key")).join(
+        keepers, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("text_key") == F.col("k_text")), "left_semi")
+    if found.count() > found.select("doc_id", "text_key").distinct().count():
+        # repeated rows, alike in id and text: the first of them stays
+        kept = kept.groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
+    return kept.select("row.*")
