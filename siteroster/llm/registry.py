@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["decontamination", "html", "licenses", "lm_scoring", "packing", "quality", "resampling", "secrets",
-           "simhash"]
+           "simhash", "suffix"]
 
 
 def entries() -> dict:
