@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+import hashlib
+import re
+from pydoc_data.topics import topics
+
+from siteroster.llm.secrets import fit_ratio, redact, scan_secrets, secret_report
+
+HEX = "0123456789abcdef" * 3
+TEXTS = ["", None, f"é token = \"{HEX}\" x", "password: short", "Password='longenough1'", "AKIAABCDEFGHIJKL AKIAshort",
+         "token: token=abcdefghijk", "token=secret: abcdefghij", f"{HEX}\n{HEX}", "api_key:=x apikey = a.b-c/d+e=f_g",
+         "ordinary words_with_underscores and CamelCaseNames in text", "x " * 5000 + HEX]
+
+
+def brute(text):
+    text, spans = text or "", []
+    patterns = [(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+                ("AKIA[A-Z0-9]+", 0, 16), ("[0-9a-f]+", 0, 32)]
+    for kind, (pattern, group, least) in enumerate(patterns):
+        spans += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    names = ("assign", "access", "hex")
+    written = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return [sum(k == i for _, k, _ in spans) for i in range(3)], hashlib.sha256(written.encode()).hexdigest(), spans
+
+
+def test_base_spans(documents):
+    found = {r.doc_id: r for r in secret_report(documents([*enumerate(TEXTS), (3, TEXTS[3])])).collect()}
+    for i, text in enumerate(TEXTS):
+        counts, digest, spans = brute(text)
+        r = found[i]
+        assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (counts, digest)
+        assert {f"{a}:{b}" for a, _, b in spans} <= {s.split(":", 1)[1] for s in r.spans.split(",") if s}
+
+
+def test_random_strings_are_told_from_identifiers(documents):
+    docs = documents(list(enumerate(list(topics.values())[:40])))
+    ratio = fit_ratio(docs)
+    secret = ["Zk3Rq9Xw1TbV7mPc5LsYd2", "q8Jx0ZtW4vKfR6nBhU2cEy9G", "7GfKq2LpXz9WmT4vRb8NcJ1d"]
+    plain = ["internationalization", "some_long_variable_name", "AnotherCamelCaseIdentifier", "20260101120000123"]
+    rows = documents([*enumerate(secret), *((10 + i, p) for i, p in enumerate(plain))])
+    found = {r.doc_id: len(r.all_spans) for r in scan_secrets(rows, ratio).collect()}
+    assert [found[i] for i in range(3)] == [1, 1, 1] and [found[10 + i] for i in range(4)] == [0] * 4
+
+
+def test_redaction(documents):
+    docs = documents([(1, f"a token = \"{HEX}\" b"), (2, None), (None, "clean")])
+    found = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert found == {1: "a [SECRET]\" b", 2: None, None: "clean"}
+    assert redact(documents([])).collect() == []
