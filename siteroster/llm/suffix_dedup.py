@@ -38,7 +38,7 @@ from siteroster.llm.bwt_merge import build, merge, repeated
 from siteroster.session import materialize
 
 GRAM, REACH, PART = 16, 128, 1 << 22
-#: Windows that a task orders at a time, and in a shard.
+#: Bytes of a text read at a time are ``PART``; windows that a task orders at a time, and in a shard:
 TOGETHER, IN_SHARD = 1_000_000, 400_000
 
 
@@ -69,9 +69,9 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return chosen[first], first, np.r_[first[1:], n] - 1
 
 
-def _parts(data: bytes, length: int) -> Iterator[tuple[int, bytes]]:
-    for at in range(0, max(1, len(data) - length + 1), PART):
-        yield at, data[at:at + PART + length - 1]
+def _parts(data: bytes, length: int, size: int) -> Iterator[tuple[int, bytes]]:
+    for at in range(0, max(1, len(data) - length + 1), size):
+        yield at, data[at:at + size + length - 1]
 
 
 def _contexts(data: bytes, places: np.ndarray, size: int) -> np.ndarray:
@@ -83,13 +83,13 @@ def _bytes(text: pa.Scalar) -> bytes:
     return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def repeated_contexts(docs: DataFrame, length: int) -> DataFrame:
+def repeated_contexts(docs: DataFrame, length: int, size: int = PART) -> DataFrame:
     """``context`` hashes that are found at two or more anchors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_contexts(part, anchors(part, length)[0], length - REACH + 1)
-                     for text in batch.column(0) for _, part in _parts(_bytes(text), length)]
+                     for text in batch.column(0) for _, part in _parts(_bytes(text), length, size)]
             values, counts = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["context", "n"])
 
@@ -115,7 +115,7 @@ def bitmap(contexts: DataFrame, bits: int) -> np.ndarray:
 SEGMENTS = "context long, segment binary, row long, at long, anchor int, windows int, bytes binary"
 
 
-def segments(docs: DataFrame, passing: np.ndarray, bits: int, length: int) -> DataFrame:
+def segments(docs: DataFrame, passing: np.ndarray, bits: int, length: int, size: int = PART) -> DataFrame:
     """A row per anchor whose context may be repeated; the bytes once per segment and task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def segments(docs: DataFrame, passing: np.ndarray, bits: int, length: int) -> Da
         for batch in batches:
             rows = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for offset, part in _parts(_bytes(text), length):
+                for offset, part in _parts(_bytes(text), length, size):
                     places, first, last = anchors(part, length)
                     contexts = _contexts(part, places, length - REACH + 1)
                     where = contexts % bits
@@ -150,7 +150,7 @@ def segments(docs: DataFrame, passing: np.ndarray, bits: int, length: int) -> Da
 RUNS = "segment binary, first int, last int"
 
 
-def _marked(rows: list[tuple[int, bytes, int, int, bytes]], depth: int) -> pa.RecordBatch:
+def _marked(rows: list[tuple[int, bytes, int, int, bytes]], depth: int, in_shard: int) -> pa.RecordBatch:
     """Runs of repeated windows in the different segments of some contexts."""
     data = np.frombuffer(b"\0" * 8 + b"".join(r[4] for r in rows), np.uint8)
     sizes = np.array([len(r[4]) for r in rows])
@@ -161,7 +161,8 @@ def _marked(rows: list[tuple[int, bytes, int, int, bytes]], depth: int) -> pa.Re
     context = np.cumsum([i > 0 and rows[i][0] != rows[i - 1][0] for i in range(len(rows))])
     distance = np.repeat([r[2] for r in rows], windows) - offset
     bucket = np.repeat(context, windows) * REACH + distance
-    shards = [build(data, start[i:i + IN_SHARD], bucket[i:i + IN_SHARD], depth) for i in range(0, len(start), IN_SHARD)]
+    shards = [build(data, start[i:i + in_shard], bucket[i:i + in_shard], depth)
+              for i in range(0, len(start), in_shard)]
     whole = merge(data, shards, depth) if len(shards) > 1 else shards[0]
     found = np.sort(whole.start[repeated(whole, depth)])
     segment = np.searchsorted(begin, found, side="right") - 1
@@ -174,7 +175,7 @@ def _marked(rows: list[tuple[int, bytes, int, int, bytes]], depth: int) -> pa.Re
         ["segment", "first", "last"])
 
 
-def repeated_runs(found: DataFrame, length: int) -> DataFrame:
+def repeated_runs(found: DataFrame, length: int, together: int = TOGETHER, in_shard: int = IN_SHARD) -> DataFrame:
     """Runs of repeated windows by segment, among different segments."""
     if length % 8:
         raise ValueError("the merge reads symbols of eight bytes")
@@ -186,13 +187,13 @@ def repeated_runs(found: DataFrame, length: int) -> DataFrame:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if last is not None and row[:2] == last[:2]:
                     continue
-                if waiting >= TOGETHER and row[0] != last[0]:
-                    yield _marked(held, length // 8)
+                if waiting >= together and row[0] != last[0]:
+                    yield _marked(held, length // 8, in_shard)
                     held, waiting = [], 0
                 held.append(row)
                 waiting, last = waiting + row[3], row
         if held:
-            yield _marked(held, length // 8)
+            yield _marked(held, length // 8, in_shard)
 
     different = found.where("bytes is not null").select("context", "segment", "anchor", "windows", "bytes")
     return different.repartition("context").sortWithinPartitions("context", "segment").mapInArrow(mark, RUNS)
@@ -223,12 +224,15 @@ def _cut(length: int):
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, bits: int = 1 << 26) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 200, bits: int = 1 << 26, size: int = PART, together: int = TOGETHER,
+    in_shard: int = IN_SHARD,
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    passing = bitmap(repeated_contexts(docs, length), bits)
-    found = materialize(segments(docs, passing, bits, length), "segments")
-    runs = repeated_runs(found, length)
+    passing = bitmap(repeated_contexts(docs, length, size), bits)
+    found = materialize(segments(docs, passing, bits, length, size), "segments")
+    runs = repeated_runs(found, length, together, in_shard)
     twice = found.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")).where(
         "n > 1").select("segment", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last"))
     places = found.select("segment", "row", "at").join(materialize(runs.union(twice), "runs"), "segment")
