@@ -159,50 +159,66 @@ def model_values(prefix: str = "m_") -> dict[str, Column]:
     }
 
 
+def offered_fields(model: DataFrame) -> DataFrame:
+    """One row per ``page_id`` of a prediction table, its fields under ``m_``.
+
+    Of repeated predictions the first by their values counts, nulls last.
+    """
+    names = [n for n in MODEL_FIELDS if n != "products"]
+    order = F.struct(*[c for n in names for c in (F.col(n).isNull(), F.col(n))])
+    first = model.groupBy("page_id").agg(F.min_by(F.struct(*names), order).alias("first"))
+    return first.select("page_id", *[F.col(f"first.{n}").alias("m_" + n) for n in names])
+
+
 def fill_from_model(df: DataFrame, model: DataFrame) -> DataFrame:
     """Fill missing fields of rows with contact gaps from a prediction table keyed by ``page_id``."""
-    offered = model.select(
-        "page_id", *[F.col(n).alias("m_" + n) for n in MODEL_FIELDS if n != "products"]
-    )
-    joined = df.join(offered, "page_id", "left").withColumn("_gap", any_missing(CONTACT_FIELDS))
+    joined = df.join(offered_fields(model), "page_id", "left").withColumn("_gap", any_missing(CONTACT_FIELDS))
     return fill_missing(joined, model_values(), F.col("_gap")).select(df.columns)
 
 
-MAX_PREFIX_DIGITS = 4
+#: Most prefixes that are sent to all tasks; a larger table is refused.
+MAX_PREFIXES = 100_000
 
 
 def prefix_dimension(prefixes: DataFrame) -> DataFrame:
-    """One country per 1–4 digit calling prefix: at most 11,110 rows by construction."""
+    """``digits, owners``: the countries of each calling prefix, of any number of digits."""
     digits = F.regexp_replace("prefix", "[^0-9]", "")
     return (
         prefixes.select(digits.alias("digits"), "country")
-        .where(F.length("digits").between(1, MAX_PREFIX_DIGITS) & F.col("country").isNotNull())
+        .where((F.length("digits") > 0) & F.col("country").isNotNull())
         .groupBy("digits")
-        .agg(F.min("country").alias("prefix_country"))
+        .agg(F.collect_set("country").alias("owners"))
     )
 
 
 def check_phone_country(df: DataFrame, prefixes: DataFrame, when: Column | None = None) -> DataFrame:
-    """Replace a known country by the one the phone prefix belongs to.
+    """Replace a known country by the one an international phone number belongs to.
 
-    The longest matching prefix decides.  The dimension has a fixed size
-    bound, so each prefix length is one broadcast lookup and no row moves.
+    The longest matching prefix decides.  A country that is one of its owners
+    stays; so does any country where several owners are possible, and where the
+    number does not start with ``+``.  Each prefix length that occurs is one
+    broadcast lookup of a table whose size is checked, and no row moves.
     """
     dimension = prefix_dimension(prefixes)
-    digits = F.regexp_replace("phone", "[^0-9]", "")
+    sizes = {r["n"]: r["rows"] for r in dimension.groupBy(F.length("digits").alias("n")).agg(
+        F.count(F.lit(1)).alias("rows")).collect()}
+    if sum(sizes.values()) > MAX_PREFIXES:
+        raise ValueError(f"{sum(sizes.values())} calling prefixes are more than {MAX_PREFIXES}")
+    number = F.trim("phone")
+    digits = F.when(number.startswith("+"), F.regexp_replace(number, "[^0-9]", ""))
     out, names = df, []
-    for n in range(MAX_PREFIX_DIGITS, 0, -1):
-        name = f"_country{n}"
-        names.append(name)
-        side = F.broadcast(
-            dimension.where(F.length("digits") == n).select(
-                F.col("digits").alias(f"_digits{n}"), F.col("prefix_country").alias(name)
-            )
-        )
-        out = out.join(side, F.left(digits, F.lit(n)) == F.col(f"_digits{n}"), "left")
-    owner = F.coalesce(*[F.col(n) for n in names])
+    for n in sorted(sizes, reverse=True):
+        names.append(f"_owners{n}")
+        side = F.broadcast(dimension.where(F.length("digits") == n).select(
+            F.col("digits").alias(f"_digits{n}"), F.col("owners").alias(names[-1])))
+        match = (F.left(digits, F.lit(n)) == F.col(f"_digits{n}")) & (F.length(digits) >= n)
+        out = out.join(side, match, "left")
+    if not names:
+        return df
+    owners = F.coalesce(*[F.col(n) for n in names])
     gate = F.lit(True) if when is None else when
-    known = F.col("phone").isNotNull() & F.col("country").isNotNull() & gate
+    other = F.col("phone").isNotNull() & F.col("country").isNotNull() & gate & (
+        F.size(owners) == 1) & ~F.array_contains(owners, F.col("country"))
     return out.withColumn(
-        "country", F.when(known, F.coalesce(owner, F.col("country"))).otherwise(F.col("country"))
+        "country", F.when(other, F.get(owners, F.lit(0))).otherwise(F.col("country"))
     ).select(df.columns)

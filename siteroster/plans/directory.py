@@ -26,6 +26,7 @@ from siteroster.operators.fill import (
     lacks_reach,
     left_lookup,
     model_values,
+    offered_fields,
     prefixed,
     probe_table,
     subpage_link,
@@ -56,16 +57,23 @@ def wanted_sites(results: DataFrame) -> DataFrame:
 
 
 def visit(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """Fetched pages whose URL is listed."""
-    return pages.where("html is not null").join(urls.select("url").distinct(), "url", "left_semi")
+    """First fetched page, by ``page_id``, of every listed URL.
+
+    The copy is chosen on narrow columns, so the filters that follow cannot
+    prefer a later one, and the list that the HTML is joined with knows its size.
+    """
+    fetched = pages.where("html is not null")
+    first = fetched.select("url", "page_id").join(urls.select("url").distinct(), "url", "left_semi")
+    first = materialize(first.groupBy("url").agg(F.min("page_id").alias("_page")), "visits")
+    match = (pages["url"] == first["url"]) & pages["page_id"].eqNullSafe(first["_page"])
+    return fetched.join(first, match, "left_semi")
 
 
 def _attach_model(rows: DataFrame, model: DataFrame | None) -> DataFrame:
-    names = [n for n in MODEL_FIELDS if n != "products"]
     if model is None:
+        names = [n for n in MODEL_FIELDS if n != "products"]
         return rows.withColumns({"m_" + n: F.lit(None).cast("string") for n in names})
-    offered = model.select("page_id", *[F.col(n).alias("m_" + n) for n in names])
-    return rows.join(offered, "page_id", "left")
+    return rows.join(offered_fields(model), "page_id", "left")
 
 
 def _model_step(

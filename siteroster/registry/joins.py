@@ -109,7 +109,12 @@ from g left join m using (page_id)
 
 PREFIX = "case when n_nationkey < 20 then '+' || cast(20 + n_nationkey as string) else '+20' || cast(n_nationkey - 20 as string) end"
 J5_PHONE = "'+' || cast(20 + c_custkey % 23 as string) || ' ' || lpad(cast(c_custkey as string), 7, '3')"
-J5_PHONE = choose("c_custkey", [J5_PHONE, J5_PHONE, "cast(null as string)", J5_PHONE])
+# also numbers under a six-digit prefix, under a prefix with two owners, and without a leading plus
+J5_PHONE = choose("c_custkey", [J5_PHONE, J5_PHONE, "cast(null as string)", J5_PHONE, "'+441481' || cast(c_custkey as string)",
+                                "'+77 ' || cast(c_custkey as string)", "'2133' || cast(c_custkey as string)"])
+J5_PREFIXES = """select {plus} as prefix, n_name as country from nation
+union all select '+441481', 'Guernsey' union all select '+77', 'Ghana' union all select '+77', 'Togo'
+union all select '+4414', 'Elsewhere'"""
 J5_COUNTRY = choose("c_custkey", ["'Ghana'", "cast(null as string)", "'Ghana'"])
 
 
@@ -121,15 +126,18 @@ def _j5(spark, sf):
     prefixes = table(spark, sf, "nation").select(
         F.expr(PREFIX).alias("prefix"), F.col("n_name").alias("country")
     )
-    return check_phone_country(rows, prefixes)
+    more = [("+441481", "Guernsey"), ("+77", "Ghana"), ("+77", "Togo"), ("+4414", "Elsewhere")]
+    return check_phone_country(rows, prefixes.union(spark.createDataFrame(more, prefixes.schema)))
 
 
 J5_SQL = f"""
 with c as (select c_custkey as page_id, {J5_PHONE} as phone, {J5_COUNTRY} as country from customer),
-     p as (select substring({PREFIX}, 2) as digits, n_name from nation),
-     h as (select page_id, max_by(n_name, length(digits)) as owner
-           from c join p on starts_with(regexp_replace(phone, '[^0-9]', '', 'g'), digits) group by page_id)
-select page_id, phone, case when country is null then null else coalesce(owner, country) end as country
+     p as (select replace(prefix, '+', '') as digits, list(distinct country) as owners
+           from ({J5_PREFIXES.format(plus=PREFIX)}) group by 1),
+     h as (select page_id, max_by(owners, length(digits)) as owners
+           from c join p on starts_with(regexp_replace(phone, '[^0-9]', '', 'g'), digits)
+           where starts_with(phone, '+') group by page_id)
+select page_id, phone, case when len(owners) = 1 and country is not null then owners[1] else country end as country
 from c left join h using (page_id)
 """
 

@@ -30,21 +30,29 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes up to which a scan of few splits may be dealt to all cores.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Spread a plain scan of a few small files over all cores for CPU-bound work.
+    """Deal a small scan (by the optimizer's size) of few splits to all cores for CPU-bound work.
 
-    A large table has more splits than cores and is returned as it is.
+    A larger table is returned as it is: its splits follow
+    ``spark.sql.files.maxPartitionBytes``, and moving its HTML would cost more.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    spark = scan.sparkSession
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return scan.repartition(spark.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else scan
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch one only where none is set."""
+    """The shared folder the cluster names; a scratch one only where none is set and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siteroster-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root

@@ -35,7 +35,7 @@ def write_search_results(results: DataFrame, path: str, config_hash: str) -> Non
     (
         results.withColumn("config_hash", F.lit(config_hash))
         .withColumn("query_slug", query_slug("query"))
-        .repartition("query_slug", F.pmod(F.col("rank"), F.lit(16)))
+        .hint("rebalance", "query_slug")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("config_hash", "query_slug")

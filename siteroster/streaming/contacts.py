@@ -47,8 +47,10 @@ def _write_batch(rows: DataFrame, sink: str, batch_id: int) -> None:
 def _read_sink(spark: SparkSession, sink: str) -> DataFrame | None:
     try:
         return spark.read.parquet(sink)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None  # nothing is written yet
+        raise
 
 
 def _new_domains(rows: DataFrame, sink: str, batch_id: int, order: Sequence[str]) -> DataFrame:

@@ -21,7 +21,7 @@ from siteroster.operators.html import parse_pages
 from siteroster.operators.profile import column_profile
 from siteroster.operators.ranking import dedup_domain, merge_results
 from siteroster.plans.contacts import extract_contacts
-from siteroster.plans.directory import build_directory, wanted_sites
+from siteroster.plans.directory import build_directory, visit, wanted_sites
 from siteroster.registry import rendered
 from siteroster.session import checkpoint_root, materialize
 from siteroster.sources.output import to_output, write_directory
@@ -202,8 +202,8 @@ def test_longest_prefix_decides(spark):
     prefixes = spark.createDataFrame(
         [("+27", "South Africa"), ("2", "Two"), ("+27115", "Long"), ("+1", "B"), ("+1", "A")], "prefix string, country string")
     got = {r.page_id: r.country for r in check_phone_country(rows, prefixes).collect()}
-    assert got == {1: "South Africa", 2: None, 3: "X", 4: "X", 5: "A"}
-    assert prefix_dimension(prefixes).count() == 3
+    assert got == {1: "South Africa", 2: None, 3: "X", 4: "X", 5: "X"}  # two owners: left as it is
+    assert prefix_dimension(prefixes).count() == 4
 
 
 def test_directory_without_options_and_with_nothing(spark):
@@ -256,3 +256,37 @@ def test_probing_reads_only_urls(spark, tmp_path):
     plan = probe_table(known, ["contact"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<url:string>" in plan
     assert read_pages(spark, path).count() == 1
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
+
+
+def test_repeated_predictions_fill_one_row(spark):
+    rows = spark.createDataFrame([(1, None, None, None, None, None)], "page_id long, email string, phone string, country string, state string, city string")
+    rows = rows.withColumn("company_name", F.lit(None).cast("string"))
+    model = spark.createDataFrame([(1, "b@x.it", "Rome"), (1, "a@x.it", None), (1, "a@x.it", None)], "page_id long, email string, city string")
+    for name in ("phone", "country", "state", "company_name"):
+        model = model.withColumn(name, F.lit(None).cast("string"))
+    # by the fields in their order, given values before missing ones: the city decides
+    assert [r.email for r in fill_from_model(rows, model).collect()] == ["b@x.it"]
+
+
+def test_first_copy_of_a_page_is_visited(spark):
+    pages = spark.createDataFrame([(2, "u", "second"), (1, "u", "first"), (3, "v", None), (0, "u", None)], "page_id long, url string, html string")
+    urls = spark.createDataFrame([("u",), ("u",), ("v",)], "url string")
+    assert [r.html for r in visit(pages, urls).collect()] == ["first"]
