@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteroster.functions.text import first_where
@@ -36,7 +36,14 @@ def given(v: Column) -> Column:
 
 
 def jsonld_items() -> Column:
-    """Objects of all JSON-LD blocks of the row, in document order; broken blocks are skipped."""
+    """Objects of all JSON-LD blocks of the row, in document order; broken blocks are skipped.
+
+    Of a repeated key the last value counts, as in other JSON readers; the session
+    is told so here, where the plan is built.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     scripts = where_nodes(lambda n: (n["tag"] == "script") & (n["type"] == "application/ld+json"))
     blocks = F.transform(scripts, lambda n: F.try_parse_json(n["hidden"]))
     items = F.transform(

@@ -315,11 +315,12 @@ def _s2(spark, sf):
         ).alias("value")
     )
     lists.write.partitionBy("query_slug").text(path)
-    return read_result_lists(spark, path).select("query_slug", "title", "url")
+    return read_result_lists(spark, path)
 
 
 S2_SQL = f"""
-select 'list-' || cast(floor(page_id / 50) as int) as query_slug, {r.H1} as title, url from pages
+select 'list-' || cast(floor(page_id / 50) as int) as query_slug, {r.H1} as title, url,
+    row_number() over (partition by floor(page_id / 50) order by page_id) - 1 as rank from pages
 """
 
 

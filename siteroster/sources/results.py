@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from siteroster.functions.urls import query_slug
 
-LIST_SCHEMA = "title string, url string"
+LIST_FIELDS = "title: string, url: string"
 
 
 def read_result_lists(spark: SparkSession, path: str) -> DataFrame:
     """JSON files, one array of ``{title, url}`` per query.
 
-    The query slug is the ``query_slug=…`` folder of the file, else its name.
+    The query slug is the ``query_slug=…`` folder of the file, else its name; the
+    rank is the place in the file's array, however files are packed into tasks.
     """
-    rows = spark.read.schema(LIST_SCHEMA).option("multiLine", True).json(path)
+    files = spark.read.text(path, wholetext=True)
     slug = F.coalesce(
         F.nullif(F.regexp_extract("_metadata.file_path", "/query_slug=([^/]*)/", 1), F.lit("")),
         F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1),
     )
-    return rows.select(
-        slug.alias("query_slug"), F.monotonically_increasing_id().alias("rank"), "title", "url"
-    ).where("title is not null")
+    listed = files.select(slug.alias("query_slug"), F.posexplode(F.from_json("value", f"array<struct<{LIST_FIELDS}>>")).alias("rank", "r"))
+    return listed.select("query_slug", F.col("rank").cast("long").alias("rank"), "r.title", "r.url").where(
+        "title is not null")
 
 
 def write_search_results(results: DataFrame, path: str, config_hash: str) -> None:

@@ -18,6 +18,7 @@ from siteroster.operators.fill import (
     probe_subpage,
 )
 from siteroster.operators.html import parse_pages
+from siteroster.operators.jsonld import page_jsonld
 from siteroster.operators.profile import column_profile
 from siteroster.operators.ranking import dedup_domain, merge_results
 from siteroster.plans.contacts import extract_contacts
@@ -290,3 +291,9 @@ def test_first_copy_of_a_page_is_visited(spark):
     pages = spark.createDataFrame([(2, "u", "second"), (1, "u", "first"), (3, "v", None), (0, "u", None)], "page_id long, url string, html string")
     urls = spark.createDataFrame([("u",), ("u",), ("v",)], "url string")
     assert [r.html for r in visit(pages, urls).collect()] == ["first"]
+
+
+def test_repeated_json_ld_keys(spark):
+    html = '<script type="application/ld+json">{"name": "A", "name": "B"}</script>'
+    page = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert [r.item for r in page_jsonld(parse_pages(page)).collect()] == ['{"name":"B"}']
