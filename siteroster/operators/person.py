@@ -251,16 +251,17 @@ def team(words: Sequence[str]) -> Column:
 
 def contact_person(words: Sequence[str] = ()) -> Column:
     """Struct (name, role) of the first valid candidate; both null when none."""
-    candidates = F.concat(
-        _from_meta(),
-        _from_jsonld(),
-        _from_mailbox(),
+    # each stage is worked out only where the ones before it found nobody
+    stages = [
+        F.concat(_from_meta(), _from_jsonld(), _from_mailbox()),
         _near_email(),
         team(words),
-        *_in_context(),
+        F.concat(*_in_context()),
         _on_role_line(),
-    )
-    chosen = first_where(candidates, lambda c: is_person_name(c["name"], words))
+    ]
+    chosen = F.coalesce(*[
+        first_where(stage, lambda c: is_person_name(c["name"], words)) for stage in stages
+    ])
     return let(
         chosen,
         lambda c: F.struct(
