@@ -80,40 +80,59 @@ def boilerplate_lines(docs: DataFrame, min_docs: int, share: float) -> DataFrame
 def _document_lines(docs: DataFrame) -> DataFrame:
     """A row per document and distinct normalised line, with the words of all its places."""
     squeezed = F.transform(lines(text_or_empty()), lambda line: ascii_lower(F.array_join(words(line), " ")))
-    each = docs.select("doc_id", "source", F.xxhash64(text_or_empty()).alias("text_key"), squeezed.alias("all"))
-    each = each.select("doc_id", "source", "text_key", F.explode(F.array_distinct("all")).alias("value"), "all")
-    return each.select("doc_id", "source", "text_key", F.xxhash64("value").alias("line"), (
+    each = docs.select("doc_id", "source", F.xxhash64(text_or_empty()).alias("text_key"), squeezed.alias("all"),
+                       F.size(words(text_or_empty())).alias("text_words"))
+    each = each.select("doc_id", "source", "text_key", "text_words", F.explode(F.array_distinct("all")).alias("value"), "all")
+    return each.select("doc_id", "source", "text_key", "text_words", F.xxhash64("value").alias("line"), (
         F.size(F.split("value", " ")) * F.size(F.filter("all", lambda x: x == F.col("value")))).alias("line_words"))
 
 
-def quality_rules(
-    docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30,
-    min_docs: int = 10, share: float = 0.1, min_left: float = 0.3, carry: bool = False,
-) -> DataFrame:
-    """Counts, ``base_failed``, ``removed_words`` and ``kept`` for every row of ``doc_id, text, source``."""
-    base = base_counts(docs, carry).withColumn(
-        "base_failed", (F.col("n_words") < min_words)
-        | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
+def removed_words(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """``r_doc, r_source, r_key, text_words, removed_words`` of the documents that hold boilerplate lines."""
     limits = boilerplate_lines(docs, min_docs, share).select(
         F.col("source").alias("b_source"), F.col("line").alias("b_line"))
     hits = _document_lines(docs).join(
         limits, (F.col("line") == F.col("b_line")) & F.col("source").eqNullSafe(F.col("b_source")), "left_semi")
-    # a table, so that the join below knows its size: few documents hold boilerplate lines
-    removed = materialize(hits.groupBy("doc_id", "source", "text_key", "line").agg(
-        F.max("line_words").alias("line_words")).groupBy(
-        F.col("doc_id").alias("r_doc"), F.col("source").alias("r_source"), F.col("text_key").alias("r_key")).agg(
-        F.sum("line_words").alias("removed_words")), "boilerplate")
-    joined = base.join(removed, (
-        F.col("text_key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_doc"))
-        & F.col("source").eqNullSafe(F.col("r_source")), "left")
+    once = hits.groupBy("doc_id", "source", "text_key", "text_words", "line").agg(F.max("line_words").alias("line_words"))
+    return once.groupBy(
+        F.col("doc_id").alias("r_doc"), F.col("source").alias("r_source"), F.col("text_key").alias("r_key"), "text_words",
+    ).agg(F.sum("line_words").alias("removed_words"))
+
+
+def _same_document():
+    return ((F.col("text_key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_doc"))
+            & F.col("source").eqNullSafe(F.col("r_source")))
+
+
+def _base_failed(min_words: int, max_repeat_percent: int):
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def quality_rules(
+    docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30,
+    min_docs: int = 10, share: float = 0.1, min_left: float = 0.3,
+) -> DataFrame:
+    """Counts, ``base_failed``, ``removed_words`` and ``kept`` for every row of ``doc_id, text, source``."""
+    base = base_counts(docs).withColumn("base_failed", _base_failed(min_words, max_repeat_percent))
+    joined = base.join(removed_words(docs, min_docs, share), _same_document(), "left")
     left = F.col("n_words") - F.coalesce(F.col("removed_words"), F.lit(0))
     return joined.select(
-        "doc_id", *(["row"] if carry else []), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(F.col("removed_words"), F.lit(0)).cast("long").alias("removed_words"),
         (~F.col("base_failed") & (left >= min_left * F.col("n_words"))).alias("kept"))
 
 
-def keep_good(docs: DataFrame, **limits: float) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    return quality_rules(docs, carry=True, **limits).where("kept").select("row.*")
+def keep_good(
+    docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30,
+    min_docs: int = 10, share: float = 0.1, min_left: float = 0.3,
+) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Texts are only filtered where they are read: the depleted documents, few in
+    all but odd corpora, are a table of keys whose size the join knows.
+    """
+    depleted = removed_words(docs, min_docs, share).where(
+        F.col("text_words") - F.col("removed_words") < min_left * F.col("text_words"))
+    depleted = materialize(depleted.select("r_doc", "r_source", "r_key"), "depleted")
+    base = base_counts(docs, carry=True).where(~_base_failed(min_words, max_repeat_percent))
+    return base.join(depleted, _same_document(), "left_anti").select("row.*")

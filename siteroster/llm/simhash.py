@@ -238,7 +238,7 @@ def keep_one(docs: DataFrame, limit: int = 3, size: int = 3) -> DataFrame:
         F.col("k.doc_id").alias("k_doc"), F.col("k.text_key").alias("k_text")), "keepers")
     # an id may stand in components of different texts; each keeps its own row
     kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_key")).join(
-        keepers, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("text_key") == F.col("k_text")), "left_semi")
+        keepers.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("text_key") == F.col("k_text")), "left_semi")
     if found.count() > found.select("doc_id", "text_key").distinct().count():
         # repeated rows, alike in id and text: the first of them stays
         kept = kept.groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
