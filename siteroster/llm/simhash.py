@@ -32,8 +32,8 @@ from siteroster.llm.components import components
 from siteroster.session import materialize
 
 SEED = 42
-#: Members up to which an anchor is compared as one block of pairs.
-WHOLE = 2048
+#: Members up to which an anchor is compared as one block of pairs, and the side of the blocks that are compared at a time.
+WHOLE, SIDE = 2048, 1024
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -119,9 +119,9 @@ def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows at most ``limit`` bits apart, in blocks of rows."""
     left, right = [], []
-    for at in range(0, len(a), WHOLE):
-        for to in range(0, len(b), 4 * WHOLE):
-            near = np.bitwise_count(a[at:at + WHOLE, None] ^ b[None, to:to + 4 * WHOLE]) <= limit
+    for at in range(0, len(a), SIDE):
+        for to in range(0, len(b), SIDE):
+            near = np.bitwise_count(a[at:at + SIDE, None] ^ b[None, to:to + SIDE]) <= limit
             i, j = np.nonzero(near)
             left.append(i + at)
             right.append(j + to)
@@ -165,9 +165,9 @@ def anchor_links(fps: np.ndarray, home: np.ndarray, half: int, limit: int) -> li
             groups += [g for g in np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(g) > 1]
     for group in groups:
         mine = group[home[group]]
-        for at in range(0, len(mine), WHOLE):
-            i, j = _close(fps[mine[at:at + WHOLE]], fps[group], limit)
-            links += forest.join(mine[at:at + WHOLE][i], group[j])
+        for at in range(0, len(mine), SIDE):
+            i, j = _close(fps[mine[at:at + SIDE]], fps[group], limit)
+            links += forest.join(mine[at:at + SIDE][i], group[j])
     return links
 
 
