@@ -19,7 +19,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +35,7 @@ BINS = "bin long, used int, done boolean, members binary"
 MEMBER = np.dtype([("doc", "<i8"), ("no_doc", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"),
                    ("crc", "<u4"), ("offset", "<i4")])
 #: Words whose ids a worker remembers, and texts that it reads at a time.
-REMEMBERED, TOGETHER = 800_000, 256
+REMEMBERED, TOGETHER = 1_000_000, 256
 
 
 def default_tokenizer() -> str:
@@ -93,15 +92,16 @@ class WordIds:
         odd = [any(token in r for token in self.special) for r in lower]
         found = [[] if o else MARKS.sub(rb" \1", r).split() for r, o in zip(lower, odd)]
         known = self.known
-        missing = set().union(*found).difference(known)
+        missing = {w for words in found for w in words if w not in known}
+        full = len(known) >= REMEMBERED
         if missing:
-            new = self._new(missing)
-            if len(known) < REMEMBERED:
-                known.update(new)
-            else:
-                known = ChainMap(new, known)
-        return [self._coded([text])[0].tobytes() if o else b"".join(map(known.__getitem__, words))
-                for text, words, o in zip(texts, found, odd)]
+            known.update(self._new(missing))
+        coded = [self._coded([text])[0].tobytes() if o else b"".join(map(known.__getitem__, words))
+                 for text, words, o in zip(texts, found, odd)]
+        if full:
+            for word in missing:
+                del known[word]
+        return coded
 
 
 @lru_cache(maxsize=1)
