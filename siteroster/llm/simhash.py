@@ -231,7 +231,11 @@ def near_duplicates(docs: DataFrame, limit: int = 3, size: int = 3) -> DataFrame
 
 def keep_one(docs: DataFrame, limit: int = 3, size: int = 3) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, then text hash; rows without id last."""
-    found = near_duplicates(docs, limit, size)
+    return first_rows(docs, near_duplicates(docs, limit, size))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of ``docs`` of each ``root``; ``found`` has ``doc_id, text_key, root`` of every row."""
     # least of a struct would put null first
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     keepers = materialize(found.groupBy("root").agg(F.min(order).alias("k")).select(
