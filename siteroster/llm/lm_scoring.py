@@ -3,9 +3,12 @@
 Counts of all training words are gathered by Spark. The ``known`` most frequent
 words go to the tasks (a bounded table); rarer words of a document are joined to
 the counts, so every word is scored with its exact count. The recurrent model's
-classes, biases and word shares come from these counts; its weights are fitted on
-a bounded sample of training documents (about ``train_docs`` documents of lowest
-id hash, until ``train_tokens`` tokens are reached).
+classes, biases and word shares come from these counts. Its weights start from a
+fit to a small sample (about ``train_docs`` documents of lowest id hash, until
+``train_tokens`` tokens are reached) and are then fitted to all training documents
+in ``ROUNDS`` rounds: a round holds the documents of some text hashes, its tasks run
+backpropagation over theirs from the shared weights, and the mean of the tasks'
+weights, by tokens, is shared next. Every training document is in one round.
 
 Defined results: null and empty texts are one end token; a null id trains;
 repeated rows train and are scored each; texts of any length are read whole;
@@ -30,6 +33,8 @@ from siteroster.session import materialize
 
 #: Words a counting task holds, and tokens a scoring task holds, before it hands rows on.
 HELD_WORDS, HELD_TOKENS = 400_000, 1_000_000
+#: Rounds of the fit to all rows, lanes and step size of its tasks, and sums that a round leaves to the driver.
+ROUNDS, LANES, RATE, SUMS = 4, 256, 0.01, 8
 
 
 def held_out(doc: int | None, parts: int = 7, part: int = 2) -> bool:
@@ -97,6 +102,67 @@ def _sample(docs: DataFrame, vocabulary: Vocabulary, train_docs: int, train_toke
     return sample
 
 
+WEIGHTS = "task long, n long, weights binary"
+
+
+def _weights_row(task: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task]), pa.array([n]), pa.array([total.tobytes()], pa.binary())],
+                                      ["task", "n", "weights"])
+
+
+def _fit_task(vocabulary: Vocabulary, weights: np.ndarray, rate: float):
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, coded, held, n = Model(vocabulary), [], 0, 0
+        model.load(weights)
+
+        def step() -> None:
+            # few tokens take few lanes, so that they still make many steps
+            train(vocabulary, coded, 1, int(np.clip(held // 4096, 8, LANES)), rate, model)
+
+        for batch in batches:
+            for text in batch.column(0):
+                coded.append(encode(vocabulary, tokens(text.as_py())))
+                held, n = held + len(coded[-1]), n + len(coded[-1])
+                if held >= HELD_TOKENS:
+                    step()
+                    coded, held = [], 0
+        if coded:
+            step()
+        if n:
+            yield _weights_row(TaskContext.get().partitionId(), n, model.flat().astype(np.float64) * n)
+
+    return fit
+
+
+def _sum_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, total = 0, None
+    for batch in batches:
+        for count, data in zip(batch.column(1).to_pylist(), batch.column(2)):
+            found = np.frombuffer(data.as_py(), np.float64)
+            n, total = n + count, found.copy() if total is None else total + found
+    if total is not None:
+        yield _weights_row(TaskContext.get().partitionId(), n, total)
+
+
+def fit_all(docs: DataFrame, vocabulary: Vocabulary, model: Model) -> int:
+    """Fits ``model`` to all training rows; returns the tokens that the rounds read."""
+    training = docs.where("not coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)")
+    read = 0
+    for k in range(ROUNDS):
+        part = training.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS)) == k).select("text")
+        fitted = part.mapInArrow(_fit_task(vocabulary, model.flat(), RATE * 0.6 ** k), WEIGHTS)
+        # tasks' sums meet in groups of 32, those in a fixed number
+        tasks = max(1, part.rdd.getNumPartitions())
+        for groups in (-(-tasks // 32), SUMS):
+            fitted = fitted.repartition(groups, "task").mapInArrow(_sum_weights, WEIGHTS)
+        rows = fitted.collect()
+        n = sum(r["n"] for r in rows)
+        if n:
+            model.load(sum(np.frombuffer(r["weights"], np.float64) for r in rows) / n)
+        read += n
+    return read
+
+
 def encode(vocabulary: Vocabulary, found: list[bytes]) -> np.ndarray:
     get, other = vocabulary.number.get, vocabulary.other
     ids = np.empty(len(found) + 1, np.int32)
@@ -160,6 +226,7 @@ def lm_scores(docs: DataFrame, known: int = 200_000, train_docs: int = 1200, tra
     vocabulary = Vocabulary(words, top_counts, ends,
                             total - in_top, distinct - len(top_counts) - (ends > 0))
     model = train(vocabulary, _sample(docs, vocabulary, train_docs, train_tokens))
+    fit_all(docs, vocabulary, model)
     scored = materialize(docs.mapInArrow(_scorer(vocabulary, model), SCORED), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("times"))

@@ -78,6 +78,16 @@ class Model:
             "word": small(HEAD // WIDTH, HIDDEN, WIDTH), "word_bias": vocabulary.word_log.copy(),
         }
 
+    def flat(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def load(self, weights: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = weights[at:at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+
     def run(self, tokens: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each step of a window; rows are steps. With ``keep`` also what backpropagation needs."""
         p, n = self.p, HIDDEN
@@ -170,8 +180,10 @@ def score_documents(model: Model, vocabulary: Vocabulary, docs: list[np.ndarray]
     return result
 
 
-def train(vocabulary: Vocabulary, docs: list[np.ndarray], epochs: int = 3, most: int = 48, rate: float = 0.01) -> Model:
-    model = Model(vocabulary)
+def train(vocabulary: Vocabulary, docs: list[np.ndarray], epochs: int = 3, most: int = 48, rate: float = 0.01,
+          model: Model | None = None) -> Model:
+    """Fits ``model``, or a new one, to documents; its weights are changed in place."""
+    model = model or Model(vocabulary)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
     step, n = 0, HIDDEN

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteroster.llm import recurrent_lm
-from siteroster.llm.lm_scoring import lm_scores
+from siteroster.llm.lm_scoring import encode, fit_all, held_out, lm_scores, tokens
 from siteroster.llm.recurrent_lm import Model, Vocabulary, score_documents, train
 from siteroster.llm.resampling import gumbel, kth_largest, ordered_bits, resample
 
@@ -45,6 +45,19 @@ def test_base_counts_and_learning(documents, known):
         assert unseen and sum(r.score for r in unseen) > 0.9 * sum(r.base_score for r in unseen)
 
 
+def test_weights_learn_from_rows_beyond_the_sample(documents):
+    rows = [(i, chain(120)) for i in range(400)]
+    words = [f"w{i}".encode() for i in range(40)]
+    vocabulary = Vocabulary(words, np.full(40, 1000), 400, 0, 0)
+    coded = [encode(vocabulary, tokens(t)) for _, t in rows]
+    inside = [c for (i, _), c in zip(rows, coded) if not held_out(i)]
+    outside = [c for (i, _), c in zip(rows, coded) if held_out(i)]
+    model = train(vocabulary, inside[:2])
+    before = score_documents(model, vocabulary, outside).sum()
+    assert fit_all(documents(rows).coalesce(2), vocabulary, model) == sum(map(len, inside))
+    assert score_documents(model, vocabulary, outside).sum() > 0.9 * before  # logs are negative
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     words = [f"w{i}".encode() for i in range(1500)]
     vocabulary = Vocabulary(words, np.arange(1500, 0, -1), 50, 300, 100)
