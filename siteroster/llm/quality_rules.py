@@ -67,9 +67,16 @@ def base_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
     return counted.select(F.explode(F.array(F.struct("*"))).alias("counts")).select("counts.*") if carry else counted
 
 
-def boilerplate_lines(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """``source, line``: hashes of lines over the limits, counted over all documents of each host."""
-    found = _document_lines(docs).groupBy("source", "line").agg(
+def boilerplate_lines(docs: DataFrame, min_docs: int, share: float, by_text: bool = False) -> DataFrame:
+    """``source, line``: hashes of lines over the limits, counted over all documents of each host.
+
+    With ``by_text`` the different texts of a host are counted in place of its documents.
+    """
+    counted = _document_lines(docs).select("source", "line", "text_key")
+    if by_text:
+        counted = counted.distinct()
+        docs = docs.select("source", F.xxhash64(text_or_empty()).alias("text_key")).distinct()
+    found = counted.groupBy("source", "line").agg(
         F.count(F.lit(1)).alias("n"), F.min("text_key").alias("least"), F.max("text_key").alias("most"))
     found = found.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most")))
     hosts = docs.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("n_host"))
@@ -87,9 +94,9 @@ def _document_lines(docs: DataFrame) -> DataFrame:
         F.size(F.split("value", " ")) * F.size(F.filter("all", lambda x: x == F.col("value")))).alias("line_words"))
 
 
-def removed_words(docs: DataFrame, min_docs: int, share: float) -> DataFrame:
+def removed_words(docs: DataFrame, min_docs: int, share: float, by_text: bool = False) -> DataFrame:
     """``r_doc, r_source, r_key, text_words, removed_words`` of the documents that hold boilerplate lines."""
-    limits = boilerplate_lines(docs, min_docs, share).select(
+    limits = boilerplate_lines(docs, min_docs, share, by_text).select(
         F.col("source").alias("b_source"), F.col("line").alias("b_line"))
     hits = _document_lines(docs).join(
         limits, (F.col("line") == F.col("b_line")) & F.col("source").eqNullSafe(F.col("b_source")), "left_semi")
@@ -129,9 +136,11 @@ def keep_good(
     """The rows of ``docs`` that the rules keep, with all their columns.
 
     Texts are only filtered where they are read: the depleted documents, few in
-    all but odd corpora, are a table of keys whose size the join knows.
+    all but odd corpora, are a table of keys whose size the join knows. Lines are
+    counted by different texts, so copies and one near copy of them do not make
+    their text boilerplate before deduplication can keep one.
     """
-    depleted = removed_words(docs, min_docs, share).where(
+    depleted = removed_words(docs, min_docs, share, by_text=True).where(
         F.col("text_words") - F.col("removed_words") < min_left * F.col("text_words"))
     depleted = materialize(depleted.select("r_doc", "r_source", "r_key"), "depleted")
     base = base_counts(docs, carry=True).where(~_base_failed(min_words, max_repeat_percent))

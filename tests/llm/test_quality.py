@@ -36,6 +36,12 @@ def test_boilerplate_empties_documents_but_copies_do_not(documents):
     assert kept == {i for i, _ in rows if i >= 100}
 
 
+def test_copies_and_one_near_copy_stay(documents):
+    body = "\n".join(unique(f"copied{k}", 8) for k in range(8))
+    rows = [(i, body) for i in range(12)] + [(50, f"{body}\nand one more line")] + [(100 + i, unique(i)) for i in range(30)]
+    assert {r.doc_id for r in keep_good(documents(rows)).collect()} == {i for i, _ in rows}
+
+
 def test_columns_pass_and_clashing_names(documents):
     docs = documents([(1, unique(1)), (2, "short")]).withColumn("row", F.lit(1)).withColumn("n_words", F.lit("x"))
     out = keep_good(docs)
