@@ -14,7 +14,7 @@ from siteroster.llm.decontamination import drop_leaked
 from siteroster.llm.packing import pack_documents
 from siteroster.llm.quality_rules import keep_good
 from siteroster.llm.secrets import redact
-from siteroster.llm.similar_texts import keep_one_similar
+from siteroster.llm.simhash import keep_one
 from siteroster.session import materialize
 
 
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles are similar at 0.8 or more."""
-    return keep_one_similar(docs)
+    """One document of each group of texts whose SimHash fingerprints over three-word shingles link within three bits."""
+    return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
