@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontamination", "html", "licenses", "lines", "lm_scoring", "packing", "quality", "resampling", "secrets",
+MODULES = ["centroids", "decontamination", "html", "licenses", "lines", "lm_scoring", "packing", "quality", "resampling", "secrets",
            "simhash", "suffix"]
 
 
