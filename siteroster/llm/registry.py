@@ -1,11 +1,11 @@
-"""The queries of the ten operators and their SQL."""
+"""The queries of the operators and their SQL."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["centroids", "decontamination", "html", "licenses", "lines", "lm_scoring", "packing", "quality", "resampling", "secrets",
-           "simhash", "suffix"]
+MODULES = ["centroids", "conversations", "decontamination", "html", "licenses", "lines", "lm_scoring", "packing", "quality",
+           "resampling", "secrets", "simhash", "suffix"]
 
 
 def entries() -> dict:
