@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteroster.llm.arrays import let, running_most, running_sums
 from siteroster.llm.sampling import chosen_by_hash
 from siteroster.llm.words import WORD, text_or_empty, words
 
@@ -33,6 +34,8 @@ HEX = "[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 TOKEN = "[A-Za-z0-9+/_-]{16,}"
 SIZE = len(ALPHABET)
+#: Code points of a block of text in which places are looked up.
+BLOCK = 1024
 
 
 def random_samples(spark: SparkSession, count: int) -> DataFrame:
@@ -89,21 +92,19 @@ def fit_ratio(docs: DataFrame, samples: int = 8000, documents: int = 400) -> lis
 
 
 def _matches(text: Column, pattern: str, kind: str, least_group: int = 0) -> Column:
-    """Spans ``(start, kind, end)`` of all matches: places are sums over the pieces that the pattern leaves."""
+    """Spans ``(start, kind, end)`` of all matches: places are running sums over the pieces that the pattern leaves."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     lengths = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
-    kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: F.length(v) >= least_group) \
-        if least_group else F.transform(lengths, lambda n: F.lit(True))
-    spans = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), lengths.alias("length"), kept.alias("kept")),
-        F.struct(F.lit(0).alias("at"), F.lit([]).cast(SPANS).alias("spans")),
-        lambda done, m: F.struct(
-            (done.at + m["gap"] + F.coalesce(m["length"], F.lit(0))).alias("at"),
-            F.when(m["kept"], F.array_append(done.spans, F.struct(
-                (done.at + m["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
-                (done.at + m["gap"] + m["length"]).alias("end")))).otherwise(done.spans).alias("spans")),
-        lambda done: done.spans)
+    # the piece behind the last match has no length beside it
+    steps = lambda n: F.slice(F.zip_with(
+        F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece)), n,
+        lambda gap, length: gap + F.coalesce(length, F.lit(0))), 1, F.size(n))
+    spans = let(lengths, lambda n: F.zip_with(
+        running_sums(steps(n)), n, lambda end, length: F.struct(
+            (end - length).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))))
+    if least_group:
+        kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: F.length(v) >= least_group)
+        spans = F.filter(F.zip_with(spans, kept, lambda span, long: F.when(long, span)), lambda span: span.isNotNull())
     return F.when(text.rlike(pattern), spans).otherwise(F.lit([]).cast(SPANS))
 
 
@@ -116,29 +117,53 @@ def _written(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, ratio: list[float], least_sum: float = 12.0, least_mean: float = 0.5) -> DataFrame:
-    """Adds ``base_spans`` and ``all_spans`` (sorted arrays of start, kind, end in code points) to every row.
+def _apart(runs: Column, base: Column) -> Column:
+    """The ``runs`` that no span of ``base`` meets; runs are disjoint and in order.
 
-    A run that meets a span of the base scan is left to it.
+    As many spans have to start before a run's end as have ended by its start. Both are
+    running counts along the sorted places of spans and runs.
     """
+    def counted(span_place: str, run_place: str, run_first: bool) -> Column:
+        event = lambda place, of_run: F.struct(
+            place.alias("at"), F.lit(int(of_run != run_first)).alias("turn"), F.lit(int(not of_run)).alias("one"))
+        events = F.array_sort(F.concat(F.transform(base, lambda s: event(s[span_place], False)),
+                                       F.transform(runs, lambda r: event(r[run_place], True))))
+        return let(events, lambda e: F.filter(
+            F.zip_with(running_sums(F.transform(e, lambda x: x["one"])), e, lambda n, x: F.when(x["one"] == 0, n)),
+            lambda n: n.isNotNull()))
+
+    begun, ended = counted("start", "end", True), counted("end", "start", False)
+    free = F.zip_with(begun, ended, lambda x, y: x == y)
+    kept = F.filter(F.zip_with(runs, free, lambda r, is_free: F.when(is_free, r)), lambda r: r.isNotNull())
+    return F.when((F.size(base) == 0) | (F.size(runs) == 0), runs).otherwise(kept)
+
+
+def _random_spans(text: Column, ratio: list[float], least_sum: float, least_mean: float) -> Column:
+    """Spans of the token runs that the models take for random strings."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")
-    text = text_or_empty()
     place = lambda step, i: F.instr(F.lit(ALPHABET), F.substring(step, i, 1)) - 1
     score = lambda value: F.aggregate(
         _steps(value), F.lit(0.0), lambda total, step: total + F.get(table, place(step, 1) * SIZE + place(step, 2)))
-    found = docs.withColumns({
-        "base_spans": F.array_sort(F.concat(
-            _matches(text, ASSIGN, "assign", ASSIGN_LEAST), _matches(text, ACCESS, "access"), _matches(text, HEX, "hex"))),
-        "_runs": _matches(text, TOKEN, "random"),
-    })
-    found = found.withColumn("_scores", F.transform(
-        "_runs", lambda r: score(F.substring(text, r["start"] + 1, r["end"] - r["start"]))))
-    new = F.filter(F.transform("_runs", lambda r, i: F.when(
-        (F.get("_scores", i) >= least_sum)
-        & (F.get("_scores", i) >= least_mean * (r["end"] - r["start"]))
-        & ~F.exists("base_spans", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])), r)),
-        lambda r: r.isNotNull())
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", new))).drop("_runs", "_scores")
+    secret = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda value: let(
+        score(value), lambda x: (x >= least_sum) & (x >= least_mean * F.length(value))))
+    spans = F.filter(F.zip_with(_matches(text, TOKEN, "random"), secret, lambda r, kept: F.when(kept, r)), lambda r: r.isNotNull())
+    return F.when(text.rlike(TOKEN), spans).otherwise(F.lit([]).cast(SPANS))
+
+
+def scan_secrets(docs: DataFrame, ratio: list[float], least_sum: float = 12.0, least_mean: float = 0.5) -> DataFrame:
+    """Adds ``base_spans`` and ``all_spans`` (sorted arrays of start, kind, end in code points) to every row.
+
+    A run that meets a span of the base scan is left to it. The work is near linear in
+    the length of a text: no step looks a place up in the text or in all other spans.
+    """
+    text = text_or_empty()
+    base = F.array_sort(F.concat(
+        _matches(text, ASSIGN, "assign", ASSIGN_LEAST), _matches(text, ACCESS, "access"), _matches(text, HEX, "hex")))
+    both = let(base, lambda b: F.struct(b.alias("base"), let(
+        _random_spans(text, ratio, least_sum, least_mean),
+        lambda runs: F.array_sort(F.concat(b, _apart(runs, b)))).alias("all")))
+    found = docs.withColumn("all_spans", both)
+    return found.withColumns({"base_spans": F.col("all_spans.base"), "all_spans": F.col("all_spans.all")})
 
 
 def secret_report(docs: DataFrame, **limits: float) -> DataFrame:
@@ -152,17 +177,33 @@ def secret_report(docs: DataFrame, **limits: float) -> DataFrame:
         F.sha2(_written(F.col("base_spans")), 256).alias("base_sha256"), _written(F.col("all_spans")).alias("spans"))
 
 
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each group of overlapping spans (sorted by start).
+
+    A gap before a span runs from the furthest end so far. The text is cut into blocks
+    first, so that taking a gap out walks a block and not the text.
+    """
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        of = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+        return F.when(first == last, F.substring(of(first), start % BLOCK + 1, end - start)).otherwise(F.concat(
+            F.substring(of(first), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""),
+            F.substring(of(last), F.lit(1), end % BLOCK)))
+
+    def pieces(blocks: Column, ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+        marked = F.filter(F.zip_with(spans, before, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"))),
+                          lambda gap: gap["start"] >= gap["at"])
+        tail = cut(blocks, F.element_at(ends, -1), F.length(text))
+        return F.concat(F.array_join(F.transform(marked, lambda gap: F.concat(cut(blocks, gap["at"], gap["start"]), F.lit(mark))), ""), tail)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: let(
+        running_most(F.transform(spans, lambda s: s["end"])), lambda ends: pieces(blocks, ends)))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", **limits: float) -> DataFrame:
-    """The input with every span of its text replaced by ``mark``; spans that meet become one mark."""
-    text = F.col("text")
-    pieces = F.aggregate(
-        "all_spans",
-        F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<string>").alias("pieces")),
-        lambda done, s: F.struct(
-            F.greatest(done.at, s["end"]).alias("at"),
-            F.when(s["start"] < done.at, done.pieces).otherwise(F.concat(done.pieces, F.array(
-                F.substring(text, done.at + 1, s["start"] - done.at), F.lit(mark)))).alias("pieces")),
-        lambda done: F.array_append(done.pieces, F.substring(text, done.at + 1, F.length(text))))
-    found = scan_secrets(docs, fit_ratio(docs), **limits)
-    clean = F.when(F.size("all_spans") > 0, F.array_join(pieces, "")).otherwise(text)
-    return found.withColumn("text", clean).drop("base_spans", "all_spans")
+    """The input with every span of its text replaced by ``mark``; spans that overlap become one mark."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = scan_secrets(rows, fit_ratio(docs), **limits)
+    clean = F.when(F.size("all_spans") > 0, let(F.col("all_spans"), lambda spans: _without(F.col("text"), spans, mark))).otherwise(F.col("text"))
+    return found.select(*[clean.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
