@@ -44,7 +44,9 @@ def _text_keys() -> list[Column]:
 
 def line_rows(docs: DataFrame, least: int) -> DataFrame:
     """``doc_id, t1, t2, position, k1, k2, share`` of every line with a key of ``least`` code points or more."""
-    each = docs.select("doc_id", *_text_keys(), F.posexplode(split_lines(text_or_empty())).alias("position", "line"))
+    # the text's own hashes come first: beside the generator they would be worked out for every line
+    each = docs.select("doc_id", *_text_keys(), split_lines(text_or_empty()).alias("lines")).select(
+        "doc_id", "t1", "t2", F.posexplode("lines").alias("position", "line"))
     keyed = each.select("doc_id", "t1", "t2", "position", line_key(F.col("line")).alias("key")).where(F.length("key") >= least)
     return keyed.select(
         "doc_id", "t1", "t2", "position", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(1), "key").alias("k2"),
