@@ -14,7 +14,7 @@ and get the same verdict; other columns of the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteroster.llm.words import SPACE_CHARS, ascii_lower, lines, text_or_empty, words
@@ -67,15 +67,27 @@ def base_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
     return counted.select(F.explode(F.array(F.struct("*"))).alias("counts")).select("counts.*") if carry else counted
 
 
+def _normal_lines() -> Column:
+    """Normalised lines of the text that hold a word: white space squeezed for the whole text at once, A-Z lower-cased."""
+    squeezed = ascii_lower(F.regexp_replace(text_or_empty(), r"[\x20\x09\x0B-\x0D]+", " "))
+    return F.filter(F.transform(F.split(squeezed, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(text_or_empty()).alias("text_key")
+
+
 def boilerplate_lines(docs: DataFrame, min_docs: int, share: float, by_text: bool = False) -> DataFrame:
     """``source, line``: hashes of lines over the limits, counted over all documents of each host.
 
     With ``by_text`` the different texts of a host are counted in place of its documents.
     """
-    counted = _document_lines(docs).select("source", "line", "text_key")
+    hashes = F.array_distinct(F.transform(_normal_lines(), lambda line: F.xxhash64(line)))
+    # the text's own values come first: beside the generator they would be worked out for every line
+    counted = docs.select("source", _text_key(), hashes.alias("all")).select("source", "text_key", F.explode("all").alias("line"))
     if by_text:
         counted = counted.distinct()
-        docs = docs.select("source", F.xxhash64(text_or_empty()).alias("text_key")).distinct()
+        docs = docs.select("source", _text_key()).distinct()
     found = counted.groupBy("source", "line").agg(
         F.count(F.lit(1)).alias("n"), F.min("text_key").alias("least"), F.max("text_key").alias("most"))
     found = found.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most")))
@@ -84,23 +96,23 @@ def boilerplate_lines(docs: DataFrame, min_docs: int, share: float, by_text: boo
         F.col("n") > share * F.col("n_host")).select("source", "line")
 
 
-def _document_lines(docs: DataFrame) -> DataFrame:
-    """A row per document and distinct normalised line, with the words of all its places."""
-    squeezed = F.transform(lines(text_or_empty()), lambda line: ascii_lower(F.array_join(words(line), " ")))
-    each = docs.select("doc_id", "source", F.xxhash64(text_or_empty()).alias("text_key"), squeezed.alias("all"),
-                       F.size(words(text_or_empty())).alias("text_words"))
-    each = each.select("doc_id", "source", "text_key", "text_words", F.explode(F.array_distinct("all")).alias("value"), "all")
-    return each.select("doc_id", "source", "text_key", "text_words", F.xxhash64("value").alias("line"), (
-        F.size(F.split("value", " ")) * F.size(F.filter("all", lambda x: x == F.col("value")))).alias("line_words"))
+def _line_words(docs: DataFrame) -> DataFrame:
+    """A row per line of each document, with the words of that line; no row carries the other lines."""
+    place = F.transform(_normal_lines(), lambda line: F.struct(
+        F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("line_words")))
+    each = docs.select("doc_id", "source", _text_key(), F.size(words(text_or_empty())).alias("text_words"), place.alias("all"))
+    each = each.select("doc_id", "source", "text_key", "text_words", F.posexplode("all").alias("place", "value"))
+    return each.select("doc_id", "source", "text_key", "text_words", "place", "value.line", "value.line_words")
 
 
 def removed_words(docs: DataFrame, min_docs: int, share: float, by_text: bool = False) -> DataFrame:
     """``r_doc, r_source, r_key, text_words, removed_words`` of the documents that hold boilerplate lines."""
     limits = boilerplate_lines(docs, min_docs, share, by_text).select(
         F.col("source").alias("b_source"), F.col("line").alias("b_line"))
-    hits = _document_lines(docs).join(
+    hits = _line_words(docs).join(
         limits, (F.col("line") == F.col("b_line")) & F.col("source").eqNullSafe(F.col("b_source")), "left_semi")
-    once = hits.groupBy("doc_id", "source", "text_key", "text_words", "line").agg(F.max("line_words").alias("line_words"))
+    # repeated rows hold the same lines at the same places
+    once = hits.groupBy("doc_id", "source", "text_key", "text_words", "place").agg(F.max("line_words").alias("line_words"))
     return once.groupBy(
         F.col("doc_id").alias("r_doc"), F.col("source").alias("r_source"), F.col("text_key").alias("r_key"), "text_words",
     ).agg(F.sum("line_words").alias("removed_words"))

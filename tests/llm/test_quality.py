@@ -47,3 +47,12 @@ def test_columns_pass_and_clashing_names(documents):
     out = keep_good(docs)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [1]
     assert keep_good(documents([])).collect() == [] and base_counts(documents([])).collect() == []
+
+
+def test_a_text_of_very_many_lines_beside_boilerplate(documents):
+    common = "shared line of the host here"
+    long = "\n".join(f"line {i % 60_000} of a long text" for i in range(100_000)) + f"\n{common}\n{common}"
+    docs = documents([(1, long), *((10 + i, f"{common}\n{unique(i)}") for i in range(20))])
+    found = {r.doc_id: r for r in quality_rules(docs).collect()}
+    assert found[1].removed_words == 12 and found[1].n_dup_lines == 40_001 and found[10].removed_words == 6
+    assert {r.doc_id for r in keep_good(docs).collect()} == {i for i, r in found.items() if r.kept}
