@@ -53,7 +53,8 @@ def find_subpage(parsed: DataFrame, keywords: Sequence[str]) -> DataFrame:
     return parsed.select("page_id", "url", subpage_link(keywords).alias("subpage_url"))
 
 
-def _slugs(keywords: Sequence[str]) -> list[str]:
+def keyword_slugs(keywords: Sequence[str]) -> list[str]:
+    """Path names under which a keyword page may lie."""
     return [k.lower().replace(" ", "-").replace("_", "-") for k in keywords]
 
 
@@ -63,7 +64,7 @@ def probe_table(known: DataFrame, keywords: Sequence[str]) -> DataFrame:
     Built from the known URLs, not by trying every site with every keyword: a
     narrow filter keeps the few matching URLs and one small aggregate remains.
     """
-    slugs = _slugs(keywords)
+    slugs = keyword_slugs(keywords)
     order = F.array(*[F.lit(s) for s in slugs])
     root = site_root("url")
     slug = F.when(F.col("url").startswith(root), F.col("url").substr(F.length(root) + 2, F.length("url")))

@@ -28,6 +28,7 @@ from siteroster.streaming.contacts import (
     read_page_stream,
     stream_contacts,
 )
+from siteroster.streaming.sites import finalize_sites, latest_sites, stream_sites
 
 CFG = r.CONFIG
 
@@ -269,6 +270,47 @@ def _streamed(spark, sf, **options) -> str:
     return sink
 
 
+def _site_stream(spark, sf) -> str:
+    """Pages of the supplier sites, those of one site in three batches: about pages first, for every other site contact pages."""
+    path, sink, state = _scratch(spark, "site-files"), _scratch(spark, "site-sink"), _scratch(spark, "site-state")
+    pages = materialize(r.site_pages(spark, sf), "site-pages")
+    site = F.floor(F.col("page_id") / 3)
+    kind = F.col("page_id") % 3
+    batch = F.when(kind == 2, 0).when((kind == 1) == (site % 2 == 0), 1).otherwise(2)
+    for i in range(3):
+        # the source reads files in the order of their writing
+        pages.where(batch == i).coalesce(1).write.mode("append").parquet(path)
+    stream_sites(read_page_stream(spark, path, files_per_batch=1), CFG, sink, state).awaitTermination()
+    return sink
+
+
+def _st1_sites(spark, sf):
+    return latest_sites(spark, _site_stream(spark, sf)).drop("page_id")
+
+
+SITE_NAMED = f"""
+select {r.ROOT} || '/' as url, {r.SITE_NAME} as company_name, cast(null as varchar) as contact_person,
+       cast(null as varchar) as position, {r.C_EMAIL} as email, {r.A_PHONE} as phone, {r.F_COUNTRY} as country,
+       {r.F_STATE} as state, {r.F_CITY} as city, 'ring' as products
+from {r.SITE_FROM} where {r.FITS} and not ({r.SHOP})
+"""
+
+
+def _st4_sites(spark, sf):
+    rows = finalize_sites(spark, _site_stream(spark, sf))
+    return rows.toDF(*[c.lower().replace(" ", "_") for c in rows.columns])
+
+
+# names that resemble the one of the site before them go, unless that site does not fit
+ST4_SITES_SQL = f"""
+with n as ({SITE_NAMED}), f as (select n.*, s_suppkey from n join supplier on n.url = {r.ROOT} || '/')
+select company_name, coalesce(contact_person, 'Not Found') as contact_person, coalesce(position, 'Not Found') as position,
+       coalesce(state, 'Not Found') as state, coalesce(city, 'Not Found') as city, coalesce(country, 'Not Found') as country,
+       coalesce(phone, 'Not Found') as phone_number, coalesce(email, 'Not Found') as email, url as website, products
+from f where s_suppkey % 16 <> 15 or s_suppkey - 1 not in (select s_suppkey from f)
+"""
+
+
 def _st1(spark, sf):
     return spark.read.parquet(_streamed(spark, sf)).select("page_id", "url", "company_name", "email")
 
@@ -327,7 +369,9 @@ def _stream_entries() -> dict[str, Entry]:
     emails = f"with e as ({E10_PAGES_SQL}) select url as website, coalesce(email, 'Not Found') as email, company_name as company from e"
     return {
         "st1_stream_contacts": (_st1, E10_PAGES_SQL),
+        "st1_stream_sites": (_st1_sites, SITE_NAMED),
         "st2_stream_dedup_domain": (_st2, ST2_SQL),
+        "st4_finalize_sites": (_st4_sites, ST4_SITES_SQL),
         "st3_live_snapshot": (_st3, ST3_SQL),
         "st4_partial_result": (_st4, emails),
         "st4_finalize": (_st4_unique, "select 'Example' as company, 'Not Found' as state"),

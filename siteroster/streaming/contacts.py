@@ -7,19 +7,22 @@ sink can be read at any time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.window import Window
 
 from siteroster.config import DirectoryConfig
 from siteroster.functions.urls import extract_domain
-from siteroster.operators.ranking import dedup_domain
+from siteroster.operators.filters import CONTACT_FIELDS
 from siteroster.operators.similar import deduplicate
 from siteroster.plans.contacts import extract_contacts
+from siteroster.session import STATE_STORE, session_settings
 from siteroster.sources.output import to_output
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
@@ -34,36 +37,81 @@ def read_page_stream(spark: SparkSession, path: str, files_per_batch: int = 64)
     )
 
 
-def _write_batch(rows: DataFrame, sink: str, batch_id: int) -> None:
+@dataclass(frozen=True)
+class Progress:
+    """State of a stream after a batch: rows of the batch and of all so far, rows with a contact field, and the expected number."""
+
+    batch_id: int
+    rows: int
+    completed: int
+    found: int
+    total: int | None
+
+
+def _progress_path(sink: str) -> str:
+    return sink.rstrip("/") + "-progress"
+
+
+def write_batch(
+    rows: DataFrame, sink: str, batch_id: int,
+    on_metrics: Callable[[Progress], None] | None = None, total: int | None = None,
+) -> None:
+    """Replace the batch's partition of the sink.
+
+    The counts are observed while the rows are written, and kept as one row a batch
+    beside the sink, so neither the hook nor a snapshot counts the sink's rows.
+    """
+    spark, seen = rows.sparkSession, Observation()
+    found = F.coalesce(*[F.col(c) for c in CONTACT_FIELDS]).isNotNull()
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(found).alias("found"))
+    _replace(observed, sink, batch_id)
+    facts = seen.get
+    _replace(spark.createDataFrame([(facts["rows"], facts["found"])], "rows bigint, found bigint"), _progress_path(sink), batch_id)
+    if on_metrics is not None:
+        sums = _progress(spark, sink).where(F.col("batch_id") <= batch_id).agg(F.sum("rows"), F.sum("found")).first()
+        on_metrics(Progress(batch_id, facts["rows"], sums[0], sums[1], total))
+
+
+def _progress(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.schema("rows bigint, found bigint, batch_id int").parquet(_progress_path(sink))
+
+
+def _replace(rows: DataFrame, path: str, batch_id: int) -> None:
     (
         rows.withColumn("batch_id", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")
-        .parquet(sink)
+        .parquet(path)
     )
 
 
-def _read_sink(spark: SparkSession, sink: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(sink)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None  # nothing is written yet
-        raise
+class FirstOfDomain(StatefulProcessor):
+    """Lets the first row of a domain pass, by ``page_id`` in its batch, and none ever after."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        first = None
+        for part in rows:
+            first = pd.concat([first, part]).sort_values("page_id", na_position="last").head(1)
+        self.seen.update((True,))
+        yield first.drop(columns="domain")
+
+    def close(self) -> None:
+        pass
 
-def _new_domains(rows: DataFrame, sink: str, batch_id: int, order: Sequence[str]) -> DataFrame:
-    """First row per site in the batch, without sites earlier batches wrote."""
-    first = dedup_domain(rows, order)
-    done = _read_sink(rows.sparkSession, sink)
-    if done is None:
-        return first
-    seen = done.where(F.col("batch_id") != batch_id).select(
-        F.coalesce(extract_domain("url"), F.lit("")).alias("_domain")
-    )
-    keyed = first.withColumn("_domain", F.coalesce(extract_domain("url"), F.lit("")))
-    return keyed.join(seen, "_domain", "left_anti").drop("_domain")
+
+def first_of_domains(rows: DataFrame) -> DataFrame:
+    """First row per site over all batches of a stream of contact rows.
+
+    The domains seen so far are keyed state: a batch reads those of its own rows only.
+    """
+    keyed = rows.withColumn("domain", F.coalesce(extract_domain("url"), F.lit("")))
+    return keyed.groupBy("domain").transformWithStateInPandas(FirstOfDomain(), rows.schema, "append", "none")
 
 
 def stream_contacts(
@@ -73,39 +121,42 @@ def stream_contacts(
     checkpoint: str,
     unique_domains: bool = False,
     on_progress: Callable[[int, DataFrame], None] | None = None,
+    on_metrics: Callable[[Progress], None] | None = None,
+    total: int | None = None,
 ) -> StreamingQuery:
     """Contact rows of each arriving batch of pages (ST1); with ``unique_domains``
     only the first row per site over all batches (ST2).
 
-    ``on_progress(batch_id, sink_rows)`` runs after each batch; stopping the
-    query keeps what was written.
+    ``on_progress(batch_id, sink_rows)`` and ``on_metrics(progress)`` run after each
+    batch; stopping the query keeps what was written.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = extract_contacts(batch, config)
-        if unique_domains:
-            rows = _new_domains(rows, sink, batch_id, ["page_id"])
-        _write_batch(rows, sink, batch_id)
+        rows = batch if unique_domains else extract_contacts(batch, config)
+        write_batch(rows, sink, batch_id, on_metrics, total)
         if on_progress is not None:
             on_progress(batch_id, batch.sparkSession.read.parquet(sink))
 
-    return (
-        pages.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    source = first_of_domains(extract_contacts(pages, config)) if unique_domains else pages
+    with session_settings(pages.sparkSession, STATE_STORE):
+        return (
+            source.writeStream.foreachBatch(handle)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def live_snapshot(spark: SparkSession, sink: str, total: int | None = None) -> DataFrame:
-    """``batch_id, completed, total``: rows finished up to and including each batch (ST3).
+    """``batch_id, completed, found, total``: rows finished up to and including each batch (ST3).
 
-    The running sum sees one row per batch, not the rows themselves.
+    Read from the counts that the batches left, one row each; the sink is not scanned.
     """
-    per_batch = spark.read.parquet(sink).groupBy("batch_id").agg(F.count("*").alias("n"))
-    return per_batch.select(
+    so_far = Window.orderBy("batch_id")
+    return _progress(spark, sink).select(
         "batch_id",
-        F.sum("n").over(Window.orderBy("batch_id")).alias("completed"),
+        F.sum("rows").over(so_far).alias("completed"),
+        F.sum("found").over(so_far).alias("found"),
         F.lit(total).cast("bigint").alias("total"),
     )
 
