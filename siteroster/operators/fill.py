@@ -177,8 +177,8 @@ def fill_from_model(df: DataFrame, model: DataFrame) -> DataFrame:
     return fill_missing(joined, model_values(), F.col("_gap")).select(df.columns)
 
 
-#: Most prefixes that are sent to all tasks; a larger table is refused.
-MAX_PREFIXES = 100_000
+#: Leading digits of a number by which calling prefixes are looked up.
+HEAD_DIGITS = 4
 
 
 def prefix_dimension(prefixes: DataFrame) -> DataFrame:
@@ -192,31 +192,46 @@ def prefix_dimension(prefixes: DataFrame) -> DataFrame:
     )
 
 
+def prefix_lookup(prefixes: DataFrame) -> DataFrame:
+    """One row per head of a number: ``head, owners, longer``.
+
+    A head is the first ``HEAD_DIGITS`` digits, or a whole shorter number. ``owners``
+    are those of the longest prefix that lies in the head; ``longer`` are the
+    prefixes beyond it, longest first. Short prefixes are written out for all heads
+    they cover, at most 11,110 in number, so any number of prefixes of any length
+    takes a single equality lookup and nothing passes through the driver.
+    """
+    dimension = prefix_dimension(prefixes)
+    size, n = F.length("digits"), F.lit(HEAD_DIGITS)
+    covered = F.flatten(F.transform(F.sequence(size, n), lambda to: F.transform(
+        F.sequence(F.lit(0), F.pow(F.lit(10), to - size).cast("int") - 1),
+        lambda i: F.concat("digits", F.when(to > size, F.lpad(i.cast("string"), to - size, "0")).otherwise("")))))
+    heads = F.when(size <= n, covered).otherwise(F.array(F.left("digits", n)))
+    written = dimension.withColumn("head", F.explode(heads))
+    prefix = F.struct((-size).alias("order"), "digits", "owners")
+    return written.groupBy("head").agg(
+        F.max_by("owners", F.when(size <= n, size)).alias("owners"),
+        F.array_sort(F.collect_list(F.when(size > n, prefix))).alias("longer"))
+
+
 def check_phone_country(df: DataFrame, prefixes: DataFrame, when: Column | None = None) -> DataFrame:
     """Replace a known country by the one an international phone number belongs to.
 
     The longest matching prefix decides.  A country that is one of its owners
     stays; so does any country where several owners are possible, and where the
-    number does not start with ``+``.  Each prefix length that occurs is one
-    broadcast lookup of a table whose size is checked, and no row moves.
+    number does not start with ``+``.
     """
-    dimension = prefix_dimension(prefixes)
-    sizes = {r["n"]: r["rows"] for r in dimension.groupBy(F.length("digits").alias("n")).agg(
-        F.count(F.lit(1)).alias("rows")).collect()}
-    if sum(sizes.values()) > MAX_PREFIXES:
-        raise ValueError(f"{sum(sizes.values())} calling prefixes are more than {MAX_PREFIXES}")
+    return with_prefix_country(df, prefix_lookup(prefixes), when)
+
+
+def with_prefix_country(df: DataFrame, lookup: DataFrame, when: Column | None = None) -> DataFrame:
+    """``check_phone_country`` with a ``prefix_lookup`` that was made before."""
     number = F.trim("phone")
     digits = F.when(number.startswith("+"), F.regexp_replace(number, "[^0-9]", ""))
-    out, names = df, []
-    for n in sorted(sizes, reverse=True):
-        names.append(f"_owners{n}")
-        side = F.broadcast(dimension.where(F.length("digits") == n).select(
-            F.col("digits").alias(f"_digits{n}"), F.col("owners").alias(names[-1])))
-        match = (F.left(digits, F.lit(n)) == F.col(f"_digits{n}")) & (F.length(digits) >= n)
-        out = out.join(side, match, "left")
-    if not names:
-        return df
-    owners = F.coalesce(*[F.col(n) for n in names])
+    head = F.when(F.length(digits) > 0, F.left(digits, F.lit(HEAD_DIGITS)))
+    out = left_lookup(df, lookup.select("head", F.col("owners").alias("_owners"), F.col("longer").alias("_longer")), head, "head")
+    longest = first_where(F.col("_longer"), lambda p: digits.startswith(p["digits"]))
+    owners = F.coalesce(longest["owners"], F.col("_owners"))
     gate = F.lit(True) if when is None else when
     other = F.col("phone").isNotNull() & F.col("country").isNotNull() & gate & (
         F.size(owners) == 1) & ~F.array_contains(owners, F.col("country"))

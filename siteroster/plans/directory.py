@@ -20,16 +20,17 @@ from siteroster.functions.urls import domain_company_name, domain_fallback_name,
 from siteroster.operators.company import page_company_name
 from siteroster.operators.contact import products
 from siteroster.operators.fill import (
-    check_phone_country,
     fill_from_page,
     fill_missing,
     lacks_reach,
     left_lookup,
     model_values,
     offered_fields,
+    prefix_lookup,
     prefixed,
     probe_table,
     subpage_link,
+    with_prefix_country,
     MODEL_FIELDS,
 )
 from siteroster.operators.filters import (
@@ -79,11 +80,11 @@ def _attach_model(rows: DataFrame, model: DataFrame | None) -> DataFrame:
 def _model_step(
     df: DataFrame, prefix: str, visited: Column, prefixes: DataFrame | None
 ) -> DataFrame:
-    """Predictions and the phone–country check, for visited rows with gaps."""
+    """Predictions and the phone–country check (by a prefix lookup), for visited rows with gaps."""
     gap = df.withColumn("_gap", visited & any_missing(CONTACT_FIELDS))
     filled = fill_missing(gap, model_values(prefix), F.col("_gap"))
     if prefixes is not None:
-        filled = check_phone_country(filled, prefixes, F.col("_gap"))
+        filled = with_prefix_country(filled, prefixes, F.col("_gap"))
     return filled.drop("_gap")
 
 
@@ -125,6 +126,8 @@ def site_contacts(
 ) -> DataFrame:
     """One filled row per usable site (before duplicates are removed)."""
     sites = materialize(sites, "sites")
+    if prefixes is not None:
+        prefixes = materialize(prefix_lookup(prefixes), "prefixes")
     homes = sites.join(home_rows(pages, sites, config, model), "url")
     host = domain_company_name(F.col("url"))
     homes = homes.withColumn(

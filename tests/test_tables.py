@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,27 @@ def test_longest_prefix_decides(spark):
     assert prefix_dimension(prefixes).count() == 4
 
 
+def test_very_many_prefixes_in_one_lookup(spark):
+    """200,000 prefixes of 1 to 9 digits against a plain search for the longest one."""
+    rng = random.Random(1)
+    owners = {}
+    for _ in range(200_000):
+        owners.setdefault("".join(rng.choice("0123456789") for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 7, 9]))), f"C{rng.randint(0, 99)}")
+    numbers = [(i, "+" + "".join(rng.choice("0123456789") for _ in range(rng.randint(0, 14))), "X") for i in range(3000)]
+    numbers += [(5000 + i, "+" + p, "X") for i, p in enumerate(list(owners)[:500])]
+    few = {p: c for p, c in owners.items() if len(p) != 2}
+
+    def longest(phone, table):
+        return next((table[phone[1:n + 1]] for n in range(9, 0, -1) if len(phone) > n and phone[1:n + 1] in table), "X")
+
+    rows = spark.createDataFrame(numbers, "page_id bigint, phone string, country string")
+    for table in (owners, few, {}):
+        prefixes = spark.createDataFrame([(f"+{p}", c) for p, c in table.items()], "prefix string, country string")
+        checked = check_phone_country(rows, prefixes)
+        assert checked._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+        assert {r.page_id: r.country for r in checked.collect()} == {i: longest(p, table) for i, p, _ in numbers}
+
+
 def test_directory_without_options_and_with_nothing(spark):
     out = build_directory(rendered.site_results(spark, SF), rendered.site_pages(spark, SF), CONFIG)
     assert out.columns == fv.OUTPUT_COLUMNS and out.count() > 5
