@@ -34,7 +34,7 @@ from siteroster.session import materialize
 #: Words a counting task holds, and tokens a scoring task holds, before it hands rows on.
 HELD_WORDS, HELD_TOKENS = 400_000, 1_000_000
 #: Rounds of the fit to all rows, lanes and step size of its tasks, and sums that a round leaves to the driver.
-ROUNDS, LANES, RATE, SUMS = 4, 256, 0.01, 8
+ROUNDS, LANES, RATE, SUMS = 4, 512, 0.01, 8
 
 
 def held_out(doc: int | None, parts: int = 7, part: int = 2) -> bool:
@@ -117,7 +117,7 @@ def _fit_task(vocabulary: Vocabulary, weights: np.ndarray, rate: float):
 
         def step() -> None:
             # few tokens take few lanes, so that they still make many steps
-            train(vocabulary, coded, 1, int(np.clip(held // 4096, 8, LANES)), rate, model)
+            train(vocabulary, coded, 1, int(np.clip(held // 2048, 8, LANES)), rate, model)
 
         for batch in batches:
             for text in batch.column(0):

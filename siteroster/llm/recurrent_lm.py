@@ -21,6 +21,8 @@ HEAD, WIDTH, BINS, HIDDEN, WINDOW = 1024, 32, 16, 16, 64
 CLASSES = HEAD // WIDTH + BINS
 START = HEAD + BINS
 END = 0
+#: Tokens of a document that training reads in one lane.
+PART = 2048
 
 
 class Vocabulary:
@@ -65,7 +67,26 @@ def lanes(lengths: list[int], most: int) -> list[list[int]]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    """Turns scores into weights in place, the largest one 1; returns their sums."""
+    scores -= scores.max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
+    return scores.sum(axis=1)
+
+
+def _sum_rows(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different places in order, and the sum of each one's rows."""
+    order = np.argsort(places, kind="stable")
+    sorted_places = places[order]
+    first = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
+    return sorted_places[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class Model:
@@ -92,53 +113,90 @@ class Model:
         """States after each step of a window; rows are steps. With ``keep`` also what backpropagation needs."""
         p, n = self.p, HIDDEN
         states, kept = np.empty((*tokens.shape, n), np.float32), []
+        given = p["inputs"][tokens]
         for t in range(len(tokens)):
-            h = np.where(resets[t][:, None], np.float32(0), h)
-            x, u = p["inputs"][tokens[t]], h @ p["state"]
+            if resets[t].any():
+                h = h * ~resets[t][:, None]
+            x, u = given[t], h @ p["state"]
             gates = _sigmoid(x[:, :2 * n] + u[:, :2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[:, 2 * n:] + r * u[:, 2 * n:])
+            z, r, inner = gates[:, :n], gates[:, n:], u[:, 2 * n:]
+            new = r * inner
+            new += x[:, 2 * n:]
+            np.tanh(new, out=new)
             if keep:
-                kept.append((h, z, r, new, u[:, 2 * n:]))
-            h = new + z * (h - new)
-            states[t] = h
-        return states, h, kept
+                kept.append((h, z, r, new, inner))
+            h = np.subtract(h, new, out=states[t])
+            h *= z
+            h += new
+        return states, h.copy(), kept
 
     def outputs(self, states: np.ndarray, cls: np.ndarray, slot: np.ndarray, gradient: dict | None = None):
         """Natural log P(class) P(word | class) of flat states; with ``gradient`` also the states' gradients."""
         p = self.p
-        scores = states @ p["cls"] + p["cls_bias"]
-        scores -= scores.max(axis=1, keepdims=True)
-        weights = np.exp(scores)
-        total = weights.sum(axis=1)
+        # rows of a class lie together, so its part of every array is a view
+        order = np.argsort(cls, kind="stable")
+        states, cls, slot = states[order], cls[order], slot[order]
         rows = np.arange(len(cls))
-        logs = scores[rows, cls] - np.log(total)
+        scores = states @ p["cls"]
+        scores += p["cls_bias"]
+        total = _softmax(scores)
+        logs = np.log(np.maximum(scores[rows, cls], 1e-37) / total)
         back = None
         if gradient is not None:
-            d = weights / total[:, None]
-            d[rows, cls] -= 1
-            gradient["cls"] += states.T @ d
-            gradient["cls_bias"] += d.sum(axis=0)
-            back = d @ p["cls"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(HEAD // WIDTH + 1))
-        for c in range(HEAD // WIDTH):
-            some = order[edges[c]:edges[c + 1]]
-            if not len(some):
-                continue
-            inner = states[some] @ p["word"][c] + p["word_bias"][c]
-            inner -= inner.max(axis=1, keepdims=True)
-            weights = np.exp(inner)
-            total = weights.sum(axis=1)
-            at = np.arange(len(some))
-            logs[some] += inner[at, slot[some]] - np.log(total)
+            scores /= total[:, None]
+            scores[rows, cls] -= 1
+            gradient["cls"] += states.T @ scores
+            gradient["cls_bias"] += scores.sum(axis=0)
+            back = scores @ p["cls"].T
+        edges = np.searchsorted(cls, np.arange(HEAD // WIDTH + 1))
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            some = slice(edges[c], edges[c + 1])
+            inner = states[some] @ p["word"][c]
+            inner += p["word_bias"][c]
+            total = _softmax(inner)
+            at = rows[:len(inner)]
+            logs[some] += np.log(np.maximum(inner[at, slot[some]], 1e-37) / total)
             if gradient is not None:
-                d = weights / total[:, None]
-                d[at, slot[some]] -= 1
-                gradient["word"][c] += states[some].T @ d
-                gradient["word_bias"][c] += d.sum(axis=0)
-                back[some] += d @ p["word"][c].T
-        return logs, back
+                inner /= total[:, None]
+                inner[at, slot[some]] -= 1
+                gradient["word"][c] += states[some].T @ inner
+                gradient["word_bias"][c] += inner.sum(axis=0)
+                back[some] += inner @ p["word"][c].T
+        found = np.empty_like(logs)
+        found[order] = logs
+        if back is None:
+            return found, None
+        placed = np.empty_like(back)
+        placed[order] = back
+        return found, placed
+
+
+def backward(model: Model, tokens: np.ndarray, resets: np.ndarray, kept: list, d_states: np.ndarray, g: dict) -> None:
+    """Backpropagation through a window: adds the gradients of ``inputs`` and ``state`` to ``g``."""
+    n, steps, live = HIDDEN, *tokens.shape
+    d_x, d_u = np.empty((2, steps, live, 3 * n), np.float32)
+    d_h = np.zeros((live, n), np.float32)
+    turned = np.ascontiguousarray(model.p["state"].T)
+    for t in range(steps - 1, -1, -1):
+        before, z, r, new, inner = kept[t]
+        d_h += d_states[t]
+        d_new = d_h * (1 - z)
+        d_new *= 1 - new * new
+        d_z = d_h * (before - new)
+        d_z *= z * (1 - z)
+        d_r = d_new * inner
+        d_r *= r * (1 - r)
+        x, u = d_x[t], d_u[t]
+        x[:, :n], x[:, n:2 * n], x[:, 2 * n:] = d_z, d_r, d_new
+        u[:, :2 * n] = x[:, :2 * n]
+        np.multiply(d_new, r, out=u[:, 2 * n:])
+        d_h *= z
+        d_h += u @ turned
+        if resets[t].any():
+            d_h *= ~resets[t][:, None]
+    g["state"] += np.concatenate([k[0] for k in kept]).T @ d_u.reshape(-1, 3 * n)
+    places, sums = _sum_rows(d_x.reshape(-1, 3 * n), tokens.ravel())
+    g["inputs"][places] += sums
 
 
 class Stream:
@@ -180,47 +238,45 @@ def score_documents(model: Model, vocabulary: Vocabulary, docs: list[np.ndarray]
     return result
 
 
+def window_gradients(
+    model: Model, vocabulary: Vocabulary, tokens: np.ndarray, resets: np.ndarray, target: np.ndarray, real: np.ndarray, h: np.ndarray,
+) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Gradients of minus the natural log likelihood of a window's real targets, those logs, and the state after it."""
+    states, after, kept = model.run(tokens, resets, h, keep=True)
+    g = {k: np.zeros_like(v) for k, v in model.p.items()}
+    logs, back = model.outputs(states.reshape(-1, HIDDEN)[real], vocabulary.cls[target[real]], vocabulary.slot[target[real]], g)
+    d_states = np.zeros((tokens.size, HIDDEN), np.float32)
+    d_states[real] = back
+    backward(model, tokens, resets, kept, d_states.reshape(states.shape), g)
+    return g, logs, after
+
+
 def train(vocabulary: Vocabulary, docs: list[np.ndarray], epochs: int = 3, most: int = 48, rate: float = 0.01,
           model: Model | None = None) -> Model:
     """Fits ``model``, or a new one, to documents; its weights are changed in place."""
     model = model or Model(vocabulary)
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
-    step, n = 0, HIDDEN
+    step = 0
     if not docs:
         return model
-    stream = Stream(vocabulary, docs, most)
+    # a very long document is fitted in parts, so that its lane does not run on alone; it is scored whole
+    stream = Stream(vocabulary, [d[at:at + PART] for d in docs for at in range(0, len(d), PART)], most)
     for _ in range(epochs):
-        h = np.zeros((len(stream.lengths), n), np.float32)
+        h = np.zeros((len(stream.lengths), HIDDEN), np.float32)
         for live, time in stream.windows(WINDOW // 2):
-            tokens, resets = stream.tokens[:live, time].T, stream.resets[:live, time].T
-            states, after, kept = model.run(tokens, resets, h[:live], keep=True)
             owner, target = stream.owner[:live, time].T.ravel(), stream.targets[:live, time].T.ravel()
             real = np.flatnonzero(owner >= 0)
-            g = {k: np.zeros_like(v) for k, v in model.p.items()}
-            _, back = model.outputs(states.reshape(-1, n)[real], vocabulary.cls[target[real]], vocabulary.slot[target[real]], g)
-            d_states = np.zeros((states.shape[0] * live, n), np.float32)
-            d_states[real] = back
-            d_states = d_states.reshape(states.shape)
-            d_h = np.zeros((live, n), np.float32)
-            for t in range(len(tokens) - 1, -1, -1):
-                before, z, r, new, u = kept[t]
-                d = d_states[t] + d_h
-                d_new = d * (1 - z) * (1 - new * new)
-                d_z = d * (before - new) * z * (1 - z)
-                d_r = d_new * u * r * (1 - r)
-                d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                np.add.at(g["inputs"], tokens[t], np.concatenate([d_z, d_r, d_new], axis=1))
-                g["state"] += before.T @ d_u
-                d_h = np.where(resets[t][:, None], np.float32(0), d * z + d_u @ model.p["state"].T)
+            g, _, h = window_gradients(
+                model, vocabulary, stream.tokens[:live, time].T, stream.resets[:live, time].T, target, real, h[:live])
             step += 1
             scale = 1 / max(1, len(real))
             for k, v in g.items():
                 v *= scale
                 np.clip(v, -1, 1, out=v)
                 first[k] += 0.1 * (v - first[k])
-                second[k] += 0.001 * (v * v - second[k])
-                model.p[k] -= rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-6)
-            h = after
+                v *= v
+                second[k] += 0.001 * (v - second[k])
+                model.p[k] -= (rate / (1 - 0.9 ** step)) * first[k] / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-6)
         rate *= 0.6
     return model

@@ -88,6 +88,75 @@ def test_gradients():
     assert change == pytest.approx(back[1, 2], abs=2e-3)
 
 
+def small_window(rng, vocabulary, live=3, steps=5):
+    """A window of three lanes: documents start inside it, one lane ends early."""
+    docs = [rng.integers(1, 1200, n).astype(np.int32) for n in (4, 3, 2, 6)]
+    docs = [np.append(d, 0).astype(np.int32) for d in docs]
+    stream = recurrent_lm.Stream(vocabulary, docs, live)
+    n, time = next(iter(stream.windows(steps)))
+    owner = stream.owner[:n, time].T.ravel()
+    return (stream.tokens[:n, time].T, stream.resets[:n, time].T, stream.targets[:n, time].T.ravel(), np.flatnonzero(owner >= 0))
+
+
+def test_gradients_of_all_weights():
+    """Backpropagation through a window against differences of its log likelihood, for some cells of every array."""
+    rng = np.random.default_rng(3)
+    vocabulary = Vocabulary([f"w{i}".encode() for i in range(1200)], np.arange(1300, 100, -1), 5, 1, 1)
+    model = Model(vocabulary)
+    tokens, resets, target, real = small_window(rng, vocabulary)
+    h = rng.standard_normal((tokens.shape[1], recurrent_lm.HIDDEN)).astype(np.float32) * 0.3
+    resets = resets.copy()
+    resets[0, 0] = False  # one lane goes on from the window before
+    g, _, _ = recurrent_lm.window_gradients(model, vocabulary, tokens, resets, target, real, h)
+
+    def loss():
+        states, _, _ = model.run(tokens, resets, h)
+        logs, _ = model.outputs(states.reshape(-1, recurrent_lm.HIDDEN)[real], vocabulary.cls[target[real]], vocabulary.slot[target[real]])
+        return -float(logs.astype(np.float64).sum())
+
+    for name, array in model.p.items():
+        places = np.argsort(-np.abs(g[name]).ravel())[:6]
+        assert np.abs(g[name]).max() > 0, name
+        for place in places:
+            cell, step = np.unravel_index(place, array.shape), 1e-2
+            kept = array[cell]
+            array[cell] = kept + step
+            up = loss()
+            array[cell] = kept - step
+            change = (up - loss()) / (2 * step)
+            array[cell] = kept
+            assert change == pytest.approx(float(g[name][cell]), rel=0.03, abs=2e-3), name
+
+
+def plain_score(model, vocabulary, doc):
+    """log10 P of a document by the formulas of the gated unit and both softmaxes, step by step."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    n, h, total, given = recurrent_lm.HIDDEN, np.zeros(recurrent_lm.HIDDEN), 0.0, recurrent_lm.START
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for word in doc:
+        x, u = p["inputs"][given], h @ p["state"]
+        z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n:2 * n] + u[n:2 * n])
+        new = np.tanh(x[2 * n:] + r * u[2 * n:])
+        h = (1 - z) * new + z * h
+        scores = h @ p["cls"] + p["cls_bias"]
+        c = vocabulary.cls[word]
+        total += (scores[c] - np.log(np.exp(scores).sum())) / np.log(10) + vocabulary.within[word]
+        if vocabulary.slot[word] >= 0:
+            inner = h @ p["word"][c] + p["word_bias"][c]
+            total += (inner[vocabulary.slot[word]] - np.log(np.exp(inner).sum())) / np.log(10)
+        given = vocabulary.token_in[word]
+    return total
+
+
+def test_scores_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    vocabulary = Vocabulary([f"w{i}".encode() for i in range(1400)], np.arange(1500, 100, -1), 60, 30, 10)
+    docs = [np.append(rng.integers(1, 1402, n), 0).astype(np.int32) for n in (0, 1, 40, 200, 700)]
+    model = train(vocabulary, docs[2:], epochs=1, most=2)
+    want = [plain_score(model, vocabulary, d) for d in docs]
+    assert score_documents(model, vocabulary, docs) == pytest.approx(want, rel=1e-5)
+
+
 def test_resampling(spark, documents):
     good = [(i, chain(80)) for i in range(160)]
     bad = [(1000 + i, " | ".join(f"junk{rng.randrange(50)}" for _ in range(60))) for i in range(40)]
