@@ -69,7 +69,9 @@ def base_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
 
 def _normal_lines() -> Column:
     """Normalised lines of the text that hold a word: white space squeezed for the whole text at once, A-Z lower-cased."""
-    squeezed = ascii_lower(F.regexp_replace(text_or_empty(), r"[\x20\x09\x0B-\x0D]+", " "))
+    # single spaces, the most of white space, are left alone
+    squeezed = ascii_lower(F.regexp_replace(
+        text_or_empty(), r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " "))
     return F.filter(F.transform(F.split(squeezed, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
 
 
