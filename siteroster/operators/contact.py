@@ -7,7 +7,6 @@ Every function returns a Column over a row made by ``parse_pages`` and
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siteroster import fixed_values as fv
 from siteroster.functions.email import normalize_email
+from siteroster.functions.patterns import pattern_groups
 from siteroster.functions.phone import normalize_phone
 from siteroster.functions.places import normalize_country
 from siteroster.functions.text import (
@@ -73,12 +73,12 @@ def phone(patterns: Sequence[str], prefixes: Sequence[str]) -> Column:
     def cascade(lines: Column) -> Column:
         stages = []
         for pattern in patterns:
-            groups = re.compile(pattern).groups
+            groups = pattern_groups(pattern)
             per_line = F.flatten(F.transform(lines, lambda ln: hits(ln, pattern, groups)))
             keep = per_line if groups > 1 else present(per_line)
             stages.append(first(not_null(F.transform(keep, valid))))
         for pattern in patterns:
-            groups = re.compile(pattern).groups
+            groups = pattern_groups(pattern)
             # regexp_extract stops at the first hit; a blank hit is no hit.
             if groups > 1:
                 stages.append(F.when(page_text().rlike(f"(?U){pattern}"), F.lit("")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siteroster import fixed_values as fv
@@ -54,5 +55,21 @@ def funnel(stages: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def run_funnel(source: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Row count after each named step, in one run of the whole chain of steps.
+
+    The counts are observed on the running plan, so the source is read once and
+    no step is worked out again for a later one. The first step is given the
+    source. The counts, one a step, are the only thing that reaches the driver.
+    """
+    rows, seen = source, {}
+    for name, step in steps.items():
+        seen[name] = Observation()
+        rows = step(rows).observe(seen[name], F.count(F.lit(1)).alias("n_rows"))
+    rows.write.format("noop").mode("overwrite").save()
+    facts = [(i, name, metrics.get["n_rows"]) for i, (name, metrics) in enumerate(seen.items())]
+    return source.sparkSession.createDataFrame(facts, "stage_pos int, stage string, n_rows bigint")
+
+
 def results_per_query(results: DataFrame) -> DataFrame:
     return results.groupBy("query_slug").agg(F.count("*").alias("n_results"))

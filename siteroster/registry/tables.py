@@ -22,6 +22,7 @@ from siteroster.operators.profile import (
     column_profile,
     contact_completeness,
     funnel,
+    run_funnel,
     results_per_query,
 )
 from siteroster.operators.ranking import dedup_domain, first_valid, merge_results
@@ -39,6 +40,7 @@ from siteroster.sources.runs import (
     append_run,
     get_run,
     list_runs,
+    read_run_results,
     read_runs,
     run_config,
     run_results,
@@ -266,16 +268,24 @@ select count(*) as n_rows, count(coalesce(email, phone, country, state, city)) a
 
 
 def _a3(spark, sf):
-    results = r.search_results(spark, sf)
-    unique = merge_results(results)
-    named = drop_generic_titles(unique)
-    visited = filter_visit_urls(named)
-    return funnel({
-        "results": results, "unique": unique, "named": named, "visited": visited,
-        "domains": dedup_domain(visited, ["query_pos", "rank"]),
+    return run_funnel(r.search_results(spark, sf), {
+        "results": lambda rows: rows, "unique": merge_results, "named": drop_generic_titles, "visited": filter_visit_urls,
+        "domains": lambda rows: dedup_domain(rows, ["query_pos", "rank"]),
     })
 
 
+def _a3_stages(spark, sf):
+    results = r.search_results(spark, sf)
+    visited = filter_visit_urls(results)
+    return funnel({"results": results, "visited": visited})
+
+
+A3_STAGES_SQL = f"""
+with {r.SEARCH_CTE}, v as (select * from r where regexp_matches(url, '^https?://') and not ends_with(url, '.pdf'))
+select 0 as stage_pos, 'results' as stage, count(*) as n_rows from r union all select 1, 'visited', count(*) from v
+"""
+
+
 A3_SQL = f"""
 with {r.SEARCH_CTE},
      u as (select * from r qualify row_number() over (partition by title order by query_pos, rank) = 1),
@@ -411,7 +421,7 @@ def _s7(spark, sf):
     done = rows.join(finished.select(F.col("id").alias("run_id")), "run_id", "left_semi")
     append_run(root, finished, done)
     append_run(root, runs, rows)
-    stored = spark.read.parquet(f"{root}/run_results").groupBy("run_id").agg(F.count("*").alias("n_rows"))
+    stored = read_run_results(spark, root).groupBy("run_id").agg(F.count("*").alias("n_rows"))
     return read_runs(spark, root).join(stored, F.col("id") == F.col("run_id")).select(
         "id", "num_results", "status", "n_rows"
     )
@@ -479,6 +489,7 @@ ENTRIES: dict[str, Entry] = {
     "a1_column_profile": (_a1, A1_SQL),
     "a2_contact_completeness": (_a2, A2_SQL),
     "a3_funnel": (_a3, A3_SQL),
+    "a3_funnel_of_tables": (_a3_stages, A3_STAGES_SQL),
     "a4_results_per_query": (_a4, A4_SQL),
     "d1_merge_results": (_d1, D1_SQL),
     "d2_first_valid": (_d2, D2_SQL),

@@ -2,39 +2,89 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteroster.session import materialize
+
 RUN_SCHEMA = (
     "id bigint, timestamp timestamp, config_json string, num_results int, "
     "status string, error_message string"
 )
 
 
-def _append_new(rows: DataFrame, path: str, key: str) -> None:
-    spark = rows.sparkSession
+#: Partitions of the manifest of committed runs.
+BUCKETS = 16
+MANIFEST_SCHEMA = "id bigint, commit string, bucket int"
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    """``id, commit, bucket`` of the committed runs, or None before the first commit."""
     try:
-        known = spark.read.parquet(path).select(key).distinct()
-        rows = rows.join(known, key, "left_anti").select(rows.columns)
+        return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/committed")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    rows.write.mode("append").parquet(path)
+        return None
+
+
+def committed_ids(spark: SparkSession, root: str, offered: DataFrame) -> DataFrame:
+    """Those of the offered ``id``s that are committed; only their buckets of the manifest are read."""
+    known = _manifest(spark, root)
+    if known is None:
+        return offered.select("id").limit(0)
+    # at most BUCKETS numbers reach the driver
+    buckets = [r[0] for r in offered.select(_bucket("id")).distinct().collect()]
+    return known.where(F.col("bucket").isin(buckets)).join(offered.select("id").distinct(), "id", "left_semi").select("id")
 
 
 def append_run(root: str, runs: DataFrame, results: DataFrame) -> None:
-    """Add runs (``RUN_SCHEMA``) and their output rows (plus ``run_id``).
+    """Add runs (``RUN_SCHEMA``) and their output rows (plus ``run_id``); ids already committed are skipped.
 
-    Results go first and both steps skip ids already stored, so repeating an
-    append after a failure adds each run once.
+    Rows are written under a commit of their own, and the manifest of committed
+    ids last. What an append left behind that failed before that is never read,
+    and a repeated append adds each run once.
     """
-    _append_new(results, f"{root}/run_results", "run_id")
-    _append_new(runs, f"{root}/runs", "id")
+    spark, commit = runs.sparkSession, uuid.uuid4().hex
+    offered = runs.select("id").union(results.select("run_id")).where("id is not null").distinct()
+    offered = materialize(offered, "offered-runs")
+    done = committed_ids(spark, root, offered)
+    new = materialize(offered.join(done, "id", "left_anti"), "new-runs")
+
+    def add(rows: DataFrame, key: str, path: str) -> None:
+        mine = rows.join(new.withColumnRenamed("id", key), key, "left_semi").select(rows.columns)
+        mine.withColumn("commit", F.lit(commit)).write.mode("append").partitionBy("commit").parquet(f"{root}/{path}")
+
+    add(results, "run_id", "run_results")
+    add(runs, "id", "runs")
+    marks = new.select("id", F.lit(commit).alias("commit"), _bucket("id").alias("bucket")).repartition("bucket")
+    marks.write.mode("append").partitionBy("bucket").parquet(f"{root}/committed")
+
+
+def _committed(rows: DataFrame, root: str, key: str) -> DataFrame:
+    known = _manifest(rows.sparkSession, root)
+    if known is None:
+        return rows.limit(0)
+    return rows.join(known.select(F.col("id").alias(key), "commit"), [key, "commit"], "left_semi")
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).parquet(f"{root}/runs")
+    """The committed runs."""
+    rows = spark.read.schema(f"{RUN_SCHEMA}, commit string").parquet(f"{root}/runs")
+    return _committed(rows, root, "id").drop("commit").select("id", "timestamp", "config_json", "num_results", "status", "error_message")
+
+
+def read_run_results(spark: SparkSession, root: str) -> DataFrame:
+    """The output rows of committed runs, with their ``run_id``."""
+    rows = _committed(spark.read.parquet(f"{root}/run_results"), root, "run_id")
+    return rows.drop("commit")
 
 
 def list_runs(runs: DataFrame, n: int = 100) -> DataFrame:
@@ -55,12 +105,10 @@ def list_runs(runs: DataFrame, n: int = 100) -> DataFrame:
 
 def get_run(runs: DataFrame, run_id: int) -> DataFrame:
     """The run, or an error at execution time when there is none."""
-    row = runs.where(F.col("id") == run_id)
     missing = F.raise_error(F.lit(f"Run {run_id} not found"))
-    checked = row.agg(F.count("*").alias("n")).where(
-        F.when(F.col("n") == 0, missing.cast("boolean")).otherwise(F.lit(True))
-    )
-    return row.where(checked.exists())
+    # an aggregate over no rows is a row, which no rule of the optimizer takes away with the rows
+    found = runs.where(F.col("id") == run_id).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*runs.columns)).alias("run"))
+    return found.where(F.when(F.col("n") == 0, missing.cast("boolean")).otherwise(F.lit(True))).select("run.*")
 
 
 def run_results(results: DataFrame, run_id: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,16 +21,26 @@ from siteroster.operators.fill import (
 )
 from siteroster.operators.html import parse_pages
 from siteroster.operators.jsonld import page_jsonld
-from siteroster.operators.profile import column_profile
+from siteroster.functions.patterns import pattern_groups
+from siteroster.operators.profile import column_profile, run_funnel
 from siteroster.operators.ranking import dedup_domain, merge_results
-from siteroster.plans.contacts import extract_contacts
+from siteroster.plans.contacts import contact_columns, extract_contacts
 from siteroster.plans.directory import build_directory, visit, wanted_sites
 from siteroster.registry import rendered
 from siteroster.session import checkpoint_root, materialize
 from siteroster.sources.output import to_output, write_directory
 from siteroster.sources.pages import read_pages
 from siteroster.sources.results import read_result_lists, usable_cache, write_search_results
-from siteroster.sources.runs import append_run, get_run, list_runs, read_runs, run_config, run_results
+from siteroster.sources.runs import (
+    append_run,
+    committed_ids,
+    get_run,
+    list_runs,
+    read_run_results,
+    read_runs,
+    run_config,
+    run_results,
+)
 from siteroster.sources.words import read_word_list
 from siteroster.streaming.contacts import (
     finalize,
@@ -83,7 +94,7 @@ def test_runs(spark, tmp_path):
     append_run(root, runs, rows)
     stored = read_runs(spark, root)
     assert stored.count() == 3
-    results = spark.read.parquet(f"{root}/run_results")
+    results = read_run_results(spark, root)
     assert sorted(r.phone for r in run_results(results, 1).collect()) == ["0115", "0222"]
     listed = list_runs(stored).collect()
     assert [(r.ID, r.Queries) for r in listed] == [(3, ""), (2, "x" * 77 + "..."), (1, "a; b")]
@@ -94,6 +105,63 @@ def test_runs(spark, tmp_path):
         get_run(stored, 9).collect()
 
 
+def test_an_append_that_failed_halfway_is_not_read_and_replays_once(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    schema = "id bigint, timestamp timestamp, config_json string, num_results int, status string, error_message string"
+    runs = spark.createDataFrame([(i, None, "{}", 1, "completed", None) for i in range(200)], schema)
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(200)], "run_id bigint, phone string")
+    append_run(root, runs.where("id < 50"), rows.where("run_id < 50"))
+    for broken in ("runs", "committed"):
+        # the results, then also the runs are written, and the append ends before its commit
+        path = tmp_path / broken
+        moved = path.rename(tmp_path / f"{broken}-aside")
+        path.write_text("in the way")
+        with pytest.raises(Exception):
+            append_run(root, runs, rows)
+        path.unlink()
+        moved.rename(path)
+        assert read_runs(spark, root).count() == read_run_results(spark, root).count() == 50
+    append_run(root, runs, rows)
+    append_run(root, runs, rows)
+    assert read_runs(spark, root).count() == 200
+    assert sorted(r.phone for r in read_run_results(spark, root).collect()) == sorted(f"p{i}" for i in range(200))
+
+
+def test_an_append_reads_its_own_buckets_of_the_manifest(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "id bigint, timestamp timestamp, config_json string, num_results int, status string, error_message string"
+    runs = spark.createDataFrame([(i, None, "{}", 1, "completed", None) for i in range(300)], schema)
+    append_run(root, runs, runs.selectExpr("id as run_id"))
+    done = committed_ids(spark, root, runs.where("id in (7, 900)").select("id"))
+    assert [r.id for r in done.collect()] == [7]
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and len(list((tmp_path / "committed").glob("bucket=*"))) > 10
+
+
+def test_a_funnel_reads_its_source_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(100).write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    source = spark.read.parquet(path).mapInArrow(count, "id long")
+    steps = {"all": lambda rows: rows, "even": lambda rows: rows.where("id % 2 = 0"), "tens": lambda rows: rows.where("id % 10 = 0")}
+    assert [tuple(r) for r in run_funnel(source, steps).orderBy("stage_pos").collect()] == [(0, "all", 100), (1, "even", 50), (2, "tens", 10)]
+    assert reads.value == 100
+
+
+def test_a_bad_pattern_fails_when_the_plan_is_built(spark):
+    assert pattern_groups(r"(a)(?:b)(?<name>c)") == 2
+    with pytest.raises(ValueError, match="not valid"):
+        contact_columns(DirectoryConfig.sample(phone_patterns=(r"\d{3", )))
+    with pytest.raises(ValueError, match="not valid"):  # fine in Python, not where it runs
+        pattern_groups("(?P<digits>[0-9]+)")
+
+
 def test_word_list(spark, tmp_path):
     path = tmp_path / "words.txt"
     path.write_text("Street\n\n Road \n")
