@@ -35,7 +35,7 @@ def running(values: Column, merge: Callable[[Column, Column], Column], zero: Col
             lambda before: F.flatten(F.transform(inner, lambda c, k: let(F.get(before, k), lambda b: F.transform(c, lambda v: merge(b, v))))))
         return let(size, lambda b: let(chunks(b), shifted))
 
-    return F.when(F.size(values) == 0, values).otherwise(let(values, over))
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(over(v)))
 
 
 def running_sums(values: Column) -> Column:
