@@ -4,8 +4,9 @@ Pages are visited as in a browser session, but set-wise: home pages of all
 usable results, then the contact pages of those still lacking an e-mail or a
 phone, then about pages.  Each visit is a semi join of the page table with a
 materialised URL list, so HTML that is not needed is never parsed, and the
-optimizer broadcasts the list only when its real size allows.  Only compact
-rows take part in the joins and rankings after that.
+optimizer broadcasts the list only when its real size allows; a larger list is
+tested in the scan first.  Only compact rows take part in the joins and rankings
+after that.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ from siteroster.operators.similar import deduplicate
 from siteroster.plans.contacts import contact_rows, read_parsed
 from siteroster.session import materialize
 from siteroster.sources.output import to_output
+from siteroster.sources.store import is_broadcastable, may_be_wanted
 
 ORDER = ["query_pos", "rank", "title"]
 
@@ -57,17 +59,29 @@ def wanted_sites(results: DataFrame) -> DataFrame:
     return filter_site_urls(filter_visit_urls(drop_generic_titles(merged)))
 
 
-def visit(pages: DataFrame, urls: DataFrame) -> DataFrame:
+def fetched_pages(pages: DataFrame) -> DataFrame:
+    """``url, page_id`` of the pages that were fetched: the one scan that tests the HTML column for all visits."""
+    return materialize(pages.where("html is not null").select("url", "page_id"), "fetched")
+
+
+def visit(pages: DataFrame, urls: DataFrame, fetched: DataFrame | None = None) -> DataFrame:
     """First fetched page, by ``page_id``, of every listed URL.
 
-    The copy is chosen on narrow columns, so the filters that follow cannot
-    prefer a later one, and the list that the HTML is joined with knows its size.
+    The copy is chosen on the narrow columns of ``fetched`` (see ``fetched_pages``), so the
+    filters that follow cannot prefer a later one, and the list that the HTML is
+    joined with knows its size. A list that is too large to be sent to all tasks
+    first leaves a bitmap in the scan, so only HTML that is likely wanted is
+    shuffled; a page store (``sources.store``) is not shuffled at all.
     """
-    fetched = pages.where("html is not null")
-    first = fetched.select("url", "page_id").join(urls.select("url").distinct(), "url", "left_semi")
+    fetched = fetched_pages(pages) if fetched is None else fetched
+    first = fetched.join(urls.select("url").distinct(), "url", "left_semi")
     first = materialize(first.groupBy("url").agg(F.min("page_id").alias("_page")), "visits")
-    match = (pages["url"] == first["url"]) & pages["page_id"].eqNullSafe(first["_page"])
-    return fetched.join(first, match, "left_semi")
+    rows = pages.where("html is not null")
+    if not is_broadcastable(first):
+        rows = may_be_wanted(rows, first)
+    # the URL alone is the join's key, as it is the store's: an equality of ids would become a key beside it
+    own, chosen = [F.coalesce(c, F.lit(-1).cast("bigint")) for c in (rows["page_id"], first["_page"])]
+    return rows.join(first, (rows["url"] == first["url"]) & (own >= chosen) & (own <= chosen), "left_semi")
 
 
 def _attach_model(rows: DataFrame, model: DataFrame | None) -> DataFrame:
@@ -89,10 +103,11 @@ def _model_step(
 
 
 def home_rows(
-    pages: DataFrame, sites: DataFrame, config: DirectoryConfig, model: DataFrame | None = None
+    pages: DataFrame, sites: DataFrame, config: DirectoryConfig, model: DataFrame | None = None,
+    fetched: DataFrame | None = None,
 ) -> DataFrame:
     """Home pages of the sites that are relevant and no shops, with all fields."""
-    parsed = read_parsed(visit(pages, sites))
+    parsed = read_parsed(visit(pages, sites, fetched))
     fitting = parsed.withColumn(
         "score", relevance_score(F.col("text"), config.product_categories)
     ).where((F.col("score") >= 2) & ~is_shop(F.col("text"), config.ecommerce_indicators))
@@ -109,10 +124,11 @@ def home_rows(
 
 
 def sub_rows(
-    pages: DataFrame, urls: DataFrame, config: DirectoryConfig, model: DataFrame | None = None
+    pages: DataFrame, urls: DataFrame, config: DirectoryConfig, model: DataFrame | None = None,
+    fetched: DataFrame | None = None,
 ) -> DataFrame:
     """Contact or about pages at the given URLs, one row per URL."""
-    parsed = read_parsed(visit(pages, urls))
+    parsed = read_parsed(visit(pages, urls, fetched))
     rows = contact_rows(parsed, config, about_link=subpage_link(fv.ABOUT_KEYWORDS))
     return _attach_model(first_per_key(rows, ["url"], ["page_id"]), model)
 
@@ -128,7 +144,8 @@ def site_contacts(
     sites = materialize(sites, "sites")
     if prefixes is not None:
         prefixes = materialize(prefix_lookup(prefixes), "prefixes")
-    homes = sites.join(home_rows(pages, sites, config, model), "url")
+    fetched = fetched_pages(pages)
+    homes = sites.join(home_rows(pages, sites, config, model, fetched), "url")
     host = domain_company_name(F.col("url"))
     homes = homes.withColumn(
         "company_name", F.coalesce("page_name", clean_company_name(F.col("title")), host)
@@ -148,7 +165,7 @@ def site_contacts(
     )
 
     wanted = step.where("contact_url is not null").select(F.col("contact_url").alias("url"))
-    contact = sub_rows(pages, wanted, config, model)
+    contact = sub_rows(pages, wanted, config, model, fetched)
     step = left_lookup(step, prefixed(contact, "c_"), F.col("contact_url"), "c_url")
     visited = F.col("c_page_id").isNotNull()
     step = fill_from_page(step, "c_", visited)
@@ -164,7 +181,7 @@ def site_contacts(
     step = materialize(step, "contacts")
 
     wanted = step.where("about_url is not null").select(F.col("about_url").alias("url"))
-    about = sub_rows(pages, wanted, config, model)
+    about = sub_rows(pages, wanted, config, model, fetched)
     step = left_lookup(step, prefixed(about, "a_"), F.col("about_url"), "a_url")
     visited = F.col("a_page_id").isNotNull()
     step = fill_from_page(step, "a_", visited)
