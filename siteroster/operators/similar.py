@@ -7,8 +7,13 @@ lower-case names.  The join around it never compares all names with all:
   at most la+lb−2M+1 blocks, so it shares at least (1.5t−1)(la+lb)−1 bigrams
   (counted with repeats).  This is a lossless lower bound ("need" below).
 * Order the bigrams of a name from rare to frequent.  Two names that share
-  ``need`` bigrams share ``k`` of them inside their first
-  ``n − need + k`` ones, so every k-subset of that head is a blocking key.
+  ``need`` bigrams share one of them inside their first ``n − need + 1`` ones:
+  these are the blocking keys, less than one per character.  (``key_size`` k
+  takes all k-subsets of a head that is longer by k − 1 instead: fewer
+  candidates for many more keys.)
+* Where two lengths sum up to so little that the bound is not positive, names
+  need not share a bigram.  Such short names also go by single characters, of
+  which they share at least t/2·(la+lb).  Both bounds hold for t > 2/3.
 * Length and shared-bigram tests run in the join, the latter on bitmaps that
   bound the shared number from above; only survivors reach the vectorised
   Python scorer.
@@ -29,7 +34,8 @@ from siteroster.functions.text import let, strip
 from siteroster.operators.ranking import dedup_domain, first_per_key
 from siteroster.session import materialize
 
-MIN_THRESHOLD = 0.85
+#: Thresholds must lie above this one, where shared bigrams no longer bound the ratio.
+MIN_THRESHOLD = 2 / 3
 _BUCKETS = 1 << 16
 _WORDS = 4
 _MAX_HOT = 100_000
@@ -71,13 +77,27 @@ def _need_column(length: Column, threshold: float) -> Column:
 
 
 def _bigrams(key: Column) -> Column:
-    """Bigrams with their running number, so that sets count repeats."""
-    grams = F.when(
-        F.length(key) >= 2,
-        F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: key.substr(i, F.lit(2))),
+    """Bigrams with their running number, so that sets count repeats.
+
+    The text up to a bigram's end is shorter by two characters for each of them when
+    they are taken out; only those of two equal characters overlap and are counted singly.
+    """
+    def numbered(i: Column) -> Column:
+        gram, text = key.substr(i, F.lit(2)), F.left(key, i + 1)
+        taken = F.floor((F.length(text) - F.length(F.replace(text, gram))) / 2)
+        single = F.size(F.filter(F.sequence(F.lit(1), i), lambda j: key.substr(j, F.lit(2)) == gram))
+        twin = F.left(gram, F.lit(1)) == F.right(gram, F.lit(1))
+        return F.concat(gram, F.when(twin, single).otherwise(taken).cast("string"))
+
+    return F.when(
+        F.length(key) >= 2, F.transform(F.sequence(F.lit(1), F.length(key) - 1), numbered)
     ).otherwise(F.array().cast("array<string>"))
+
+
+def _numbered(parts: Column) -> Column:
+    """Each part with its running number among equal ones."""
     return let(
-        grams,
+        parts,
         lambda g: F.transform(
             g,
             lambda x, i: F.concat(
@@ -114,9 +134,8 @@ def _subsets(head: Column, size: int) -> Column:
     )
 
 
-def _gram_bits(tokens: Column) -> list[Column]:
-    """The bigram set hashed to a bitmap of four 64-bit words."""
-    places = F.transform(tokens, lambda t: F.pmod(F.hash(t), F.lit(64 * _WORDS)))
+def _gram_bits(places: Column) -> list[Column]:
+    """The bigram set, hashed to places, as a bitmap of four 64-bit words."""
 
     def word(w: int) -> Column:
         mine = F.filter(places, lambda p: F.floor(p / 64) == w)
@@ -146,10 +165,21 @@ def _shared_at_most() -> Column:
     return F.least(bound("a", "b"), bound("b", "a"))
 
 
-def blocking_keys(names: DataFrame, threshold: float, key_size: int) -> DataFrame:
+def _short_keys(key: Column, threshold: float) -> Column:
+    """Single characters (with running numbers) of names short enough to lack a shared bigram, else nothing."""
+    length = F.length(key)
+    partner = F.ceil(length * F.lit(threshold / (2 - threshold)) - _EPS)
+    need = F.greatest(F.ceil((length + partner) * F.lit(threshold / 2) - _EPS), F.lit(1)).cast("int")
+    none = F.array().cast("array<bigint>")
+    # any order that all names share will do for the head of rare ones
+    hashes = F.array_sort(F.transform(_numbered(F.split(key, "")), lambda c: F.xxhash64(F.lit("character"), c)))
+    return F.when((length + partner) * F.lit(1.5 * threshold - 1) <= 1 + _EPS, F.slice(hashes, 1, length - need + 1)).otherwise(none)
+
+
+def blocking_keys(names: DataFrame, threshold: float, key_size: int = 1) -> DataFrame:
     """Blocking keys (``sig``) of unique names ``key, ord``, one row each."""
-    if not MIN_THRESHOLD <= threshold <= 1:
-        raise ValueError(f"threshold must lie in [{MIN_THRESHOLD}, 1]")
+    if not MIN_THRESHOLD < threshold <= 1:
+        raise ValueError(f"threshold must lie in ({MIN_THRESHOLD:.3f}, 1]")
     grams = names.withColumn("token", F.explode(_bigrams(F.col("key")))).withColumn(
         "bucket", F.pmod(F.hash("token"), F.lit(_BUCKETS))
     )
@@ -160,15 +190,17 @@ def blocking_keys(names: DataFrame, threshold: float, key_size: int) -> DataFram
         .groupBy("key")
         .agg(
             F.min("ord").alias("ord"),
-            F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"),
+            F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ranked"),
         )
     )
     length, size = F.length("key"), F.size("ranked")
     need = F.greatest(_need_column(length, threshold), F.lit(1))
-    tokens = F.transform("ranked", lambda r: r["token"])
+    # columns of their own: each is worked out once a name and used several times
+    ranked = ranked.withColumn("tokens", F.transform("ranked", lambda r: r["token"]))
+    ranked = ranked.withColumn("places", F.transform("tokens", lambda t: F.pmod(F.hash(t), F.lit(64 * _WORDS))))
 
     def head(k: int) -> Column:
-        return F.slice(tokens, 1, F.least(size, size - need + k))
+        return F.slice("tokens", 1, F.least(size, size - need + k))
 
     # Names too short for k shared bigrams, and whatever may resemble them, go by single ones.
     shortest = max((n for n in range(1, 64) if _need(n, threshold) < key_size), default=0)
@@ -182,8 +214,8 @@ def blocking_keys(names: DataFrame, threshold: float, key_size: int) -> DataFram
         "ord",
         length.alias("length"),
         size.alias("n_grams"),
-        *_gram_bits(tokens),
-        F.array_distinct(keys).alias("sigs"),
+        *_gram_bits(F.col("places")),
+        F.array_distinct(F.concat(keys, _short_keys(F.col("key"), threshold))).alias("sigs"),
     )
     return sigs.withColumn("n_sig", F.size("sigs")).withColumn("sig", F.explode("sigs")).drop("sigs")
 
@@ -242,11 +274,6 @@ def _spread(
     return spread_heads, spread_members
 
 
-def default_key_size(names: DataFrame) -> int:
-    """More names need more selective keys; the result is the same for any size."""
-    return 2 if names.count() <= 50_000 else 3
-
-
 def _unique_names(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
     rows = df.select(name_key(F.col(name)).alias("key"), F.struct(*order).alias("ord"))
     return rows.groupBy("key").agg(F.min("ord").alias("ord"))
@@ -257,19 +284,18 @@ def similar_name_pairs(
     order: Sequence[str],
     name: str = "name",
     threshold: float = 0.85,
-    key_size: int | None = None,
+    key_size: int = 1,
 ) -> DataFrame:
     """All pairs ``earlier, later`` of distinct names at or above the threshold."""
     names = materialize(_unique_names(df, name, order), "unique-names")
-    size = key_size or default_key_size(names)
-    keys = materialize(blocking_keys(names, threshold, size), "name-keys")
+    keys = materialize(blocking_keys(names, threshold, key_size), "name-keys")
     return _score(_candidates(keys, keys, threshold, GROUP_LIMIT), threshold)
 
 
 def kept_names(
     names: DataFrame,
     threshold: float = 0.85,
-    key_size: int | None = None,
+    key_size: int = 1,
     head_size: int = 1,
     group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
@@ -283,8 +309,7 @@ def kept_names(
     square.  ``head_size`` grows eightfold per round: the number of rounds is
     logarithmic in the largest group, and no pair is ever left out.
     """
-    size = key_size or default_key_size(names)
-    open_keys = materialize(blocking_keys(names, threshold, size), "open-names")
+    open_keys = materialize(blocking_keys(names, threshold, key_size), "open-names")
     # Names without a bigram resemble nothing but themselves.
     kept = names.where(F.length("key") < 2).select("key")
     while not open_keys.isEmpty():
@@ -347,7 +372,7 @@ def dedup_similar_names(
     order: Sequence[str],
     name: str = "company_name",
     threshold: float = 0.85,
-    key_size: int | None = None,
+    key_size: int = 1,
 ) -> DataFrame:
     """Drop a row when an earlier row that was itself kept has a similar name."""
     keyed = df.withColumn("_key", name_key(F.col(name)))

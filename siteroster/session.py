@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     # Long rule expressions are built call by call; skip the call-site capture.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Stages of few bytes may still be much work: let them keep all cores busy. Large stages are not affected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     # Lets "first k per key" stay a map-side limit in later dedup rounds.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }

@@ -56,6 +56,34 @@ def frame(spark, names):
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "ord int, name string")
 
 
+def plain_bigrams(text):
+    grams = [text[i:i + 2] for i in range(len(text) - 1)]
+    return [g + str(grams[:i + 1].count(g)) for i, g in enumerate(grams)]
+
+
+def test_bigrams_are_numbered_and_keys_grow_with_the_length(spark):
+    rng = random.Random(3)
+    names = ["", "a", "aa", "aaaa", "abab", "aabbaab", "a😀a😀a", *("".join(rng.choice("ab c") for _ in range(n)) for n in (32, 60, 100))]
+    names += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (32, 60, 100) for _ in range(20)]
+    table = spark.createDataFrame([(n, (i,)) for i, n in enumerate(dict.fromkeys(names))], "key string, ord struct<i:int>")
+    for r in table.select("key", similar._bigrams(F.col("key")).alias("g")).collect():
+        assert r.g == plain_bigrams(r.key)
+    for threshold in (0.7, 0.85, 0.95):
+        for r in similar.blocking_keys(table, threshold).groupBy("key").count().collect():
+            assert len(r.key) < 32 or r["count"] <= len(r.key)
+
+
+@pytest.mark.parametrize("seed,t", [(21, 0.67), (22, 0.7), (23, 0.75), (24, 0.8)])
+def test_low_thresholds_equal_brute_force(spark, seed, t):
+    names = make_names(seed, 120) + ["ab", "axb", "ba", "abc", "a", "b", "cab", "xyzab", "zyxba"]
+    keys = list(dict.fromkeys(n.lower().strip() for n in names))
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1:] if alike(a, b, t)}
+    got = similar_name_pairs(frame(spark, names), ["ord"], threshold=t)
+    assert {tuple(r) for r in got.collect()} == want
+    rows = dedup_similar_names(frame(spark, names), ["ord"], "name", threshold=t)
+    assert [r.name for r in rows.orderBy("ord").collect()] == greedy(names, t)
+
+
 @pytest.mark.parametrize("seed,key_size", [(1, 1), (2, 2), (3, 3), (4, 2)])
 def test_greedy_equals_the_loop(spark, seed, key_size):
     names = make_names(seed, 150)
