@@ -33,6 +33,8 @@ from siteroster.session import materialize
 
 #: Words a counting task holds, and tokens a scoring task holds, before it hands rows on.
 HELD_WORDS, HELD_TOKENS = 400_000, 1_000_000
+#: Tokens above which a document is scored among long ones.
+LONG = 2048
 #: Rounds of the fit to all rows, lanes and step size of its tasks, and sums that a round leaves to the driver.
 ROUNDS, LANES, RATE, SUMS = 4, 512, 0.01, 8
 
@@ -175,41 +177,48 @@ SCORED = ("row long, doc_id long, n_tokens long, n_known long, log_counts double
           "rare array<binary>, rare_n array<int>")
 
 
+class _Held:
+    """Documents that wait to be scored together."""
+
+    def __init__(self) -> None:
+        self.rows: list[list] = []
+        self.coded: list[np.ndarray] = []
+        self.tokens = 0
+
+    def scored(self, model: Model, vocabulary: Vocabulary) -> pa.RecordBatch:
+        logs = score_documents(model, vocabulary, self.coded)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        arrays = [pa.array(list(c), t) for c, t in zip(zip(*self.rows), types)]
+        arrays.insert(5, pa.array(logs))
+        self.__init__()
+        return pa.RecordBatch.from_arrays(arrays, [
+            "row", "doc_id", "n_tokens", "n_known", "log_counts", "log_model", "n_rare", "rare", "rare_n"])
+
+
 def _scorer(vocabulary: Vocabulary, model: Model):
     known = vocabulary.counts > 0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 36)
-        rows: list[list] = []
-        coded: list[np.ndarray] = []
-        held = 0
-
-        def done() -> pa.RecordBatch:
-            logs = score_documents(model, vocabulary, coded)
-            columns = list(zip(*rows))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(),
-                     pa.list_(pa.binary()), pa.list_(pa.int32())]
-            arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
-            arrays.insert(5, pa.array(logs))
-            return pa.RecordBatch.from_arrays(arrays, [
-                "row", "doc_id", "n_tokens", "n_known", "log_counts", "log_model", "n_rare", "rare", "rare_n"])
-
+        # long documents are kept apart: their lanes run on where all others have ended, and do so once a task
+        held = {False: _Held(), True: _Held()}
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = tokens(text.as_py())
                 ids = encode(vocabulary, found)
                 rare = np.flatnonzero(ids == vocabulary.other)
-                common = ids[ids != vocabulary.other]
+                common = ids[ids != vocabulary.other] if len(rare) else ids
                 words = Counter(found[i] for i in rare)
-                rows.append([number, doc, len(ids), int(known[common].sum()), float(vocabulary.log_count[common].sum()),
-                             len(rare), list(words), list(words.values())])
-                coded.append(ids)
-                number, held = number + 1, held + len(ids)
-                if held >= HELD_TOKENS:
-                    yield done()
-                    rows, coded, held = [], [], 0
-        if rows:
-            yield done()
+                part = held[len(ids) > LONG]
+                part.rows.append([number, doc, len(ids), int(known[common].sum()), float(vocabulary.log_count[common].sum()),
+                                  len(rare), list(words), list(words.values())])
+                part.coded.append(ids)
+                number, part.tokens = number + 1, part.tokens + len(ids)
+                if part.tokens >= HELD_TOKENS:
+                    yield part.scored(model, vocabulary)
+        for part in held.values():
+            if part.rows:
+                yield part.scored(model, vocabulary)
 
     return score
 

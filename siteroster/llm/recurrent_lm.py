@@ -21,6 +21,8 @@ HEAD, WIDTH, BINS, HIDDEN, WINDOW = 1024, 32, 16, 16, 64
 CLASSES = HEAD // WIDTH + BINS
 START = HEAD + BINS
 END = 0
+#: Outputs that a scoring window aims at, and its most steps.
+ROWS, MOST_STEPS = 1 << 14, 1024
 #: Tokens of a document that training reads in one lane.
 PART = 2048
 
@@ -74,11 +76,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _softmax(scores: np.ndarray) -> np.ndarray:
-    """Turns scores into weights in place, the largest one 1; returns their sums."""
-    scores -= scores.max(axis=1, keepdims=True)
+def _tops(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of the scores of each softmax (states lie between -1 and 1), and whether a bound may stand in for the largest score."""
+    spread = np.abs(weights).sum(axis=-2)
+    top = (bias + spread).max(axis=-1)
+    return top, top - (bias - spread).max(axis=-1) < 60
+
+
+def _softmax(scores: np.ndarray, bias: np.ndarray, top: float, safe: bool) -> np.ndarray:
+    """Turns scores without bias into weights in place, all scaled alike in a row; returns their sums."""
+    if safe:
+        scores += bias - top
+    else:
+        scores += bias
+        scores -= scores.max(axis=1, keepdims=True)
     np.exp(scores, out=scores)
-    return scores.sum(axis=1)
+    return scores @ np.ones(scores.shape[1], np.float32)
 
 
 def _sum_rows(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +151,8 @@ class Model:
         states, cls, slot = states[order], cls[order], slot[order]
         rows = np.arange(len(cls))
         scores = states @ p["cls"]
-        scores += p["cls_bias"]
-        total = _softmax(scores)
+        top, safe = _tops(p["cls"], p["cls_bias"])
+        total = _softmax(scores, p["cls_bias"], top, safe)
         logs = np.log(np.maximum(scores[rows, cls], 1e-37) / total)
         back = None
         if gradient is not None:
@@ -149,11 +162,11 @@ class Model:
             gradient["cls_bias"] += scores.sum(axis=0)
             back = scores @ p["cls"].T
         edges = np.searchsorted(cls, np.arange(HEAD // WIDTH + 1))
+        top, safe = _tops(p["word"], p["word_bias"])
         for c in np.flatnonzero(np.diff(edges)).tolist():
             some = slice(edges[c], edges[c + 1])
             inner = states[some] @ p["word"][c]
-            inner += p["word_bias"][c]
-            total = _softmax(inner)
+            total = _softmax(inner, p["word_bias"][c], top[c], safe[c])
             at = rows[:len(inner)]
             logs[some] += np.log(np.maximum(inner[at, slot[some]], 1e-37) / total)
             if gradient is not None:
@@ -228,7 +241,8 @@ def score_documents(model: Model, vocabulary: Vocabulary, docs: list[np.ndarray]
     """log10 P of whole documents (each ends with the end id); words of the last bin count P(bin) alone."""
     stream = Stream(vocabulary, docs, most)
     h, result = np.zeros((len(stream.lengths), HIDDEN), np.float32), np.zeros(len(docs))
-    for n, time in stream.windows(WINDOW):
+    # few lanes take longer windows, so that a window's outputs are many
+    for n, time in stream.windows(max(WINDOW, min(MOST_STEPS, ROWS // len(stream.lengths)))):
         states, h, _ = model.run(stream.tokens[:n, time].T, stream.resets[:n, time].T, h[:n])
         owner, target = stream.owner[:n, time].T.ravel(), stream.targets[:n, time].T.ravel()
         real = owner >= 0

@@ -67,12 +67,12 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert total.sum() + rest[0] == pytest.approx(1, abs=1e-4)
     long = np.array([(7 * i) % 900 for i in range(500)] + [0], np.int32)
     whole = score_documents(model, vocabulary, [long, long[:3]])
-    size = recurrent_lm.WINDOW
+    size, rows = recurrent_lm.WINDOW, recurrent_lm.ROWS
     try:
-        recurrent_lm.WINDOW = 11
+        recurrent_lm.WINDOW, recurrent_lm.ROWS = 11, 1
         assert score_documents(model, vocabulary, [long[:3], long], most=1)[::-1] == pytest.approx(whole, rel=1e-5)
     finally:
-        recurrent_lm.WINDOW = size
+        recurrent_lm.WINDOW, recurrent_lm.ROWS = size, rows
 
 
 def test_gradients():
