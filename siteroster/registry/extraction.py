@@ -170,11 +170,15 @@ _HITS = " union all ".join(
     for i, pattern in enumerate(CFG.phone_patterns)
 )
 _WHOLE = " union all ".join(
-    f"select doc_id, 0 as line_no, {i + 100} as p, regexp_extract(text, '{pattern}') as h from documents"
+    f"select doc_id, 0 as line_no, {i + 100} as p, regexp_extract(text, '{pattern}') as h from texts"
     for i, pattern in enumerate(CFG.phone_patterns)
 )
-E2_SQL = f"""
-with l as (select doc_id, string_split(text, chr(10)) as ls from documents),
+
+
+def _phone_ctes(texts: str) -> str:
+    """``w``: the phone of each row of ``texts`` (``doc_id, text``) that has one."""
+    return f"""texts as ({texts}),
+     l as (select doc_id, string_split(text, chr(10)) as ls from texts),
      u as (select doc_id, generate_subscripts(ls, 1) as line_no, unnest(ls) as line from l),
      kl as (select * from u where list_has_any(list_transform([{sql_list(fv.PHONE_LINE_WORDS)}], lambda k: contains(lower(line), k)), [true])),
      a as ({_HITS}),
@@ -189,7 +193,11 @@ with l as (select doc_id, string_split(text, chr(10)) as ls from documents),
                             when x.prefix is not null then x.prefix || ' ' || substring(c, x.n + 1)
                             when length(g) >= 9 then c end as phone
            from d left join x using (rid)),
-     w as (select doc_id, arg_min(phone, (p, line_no, pos)) as phone from z where phone is not null group by doc_id)
+     w as (select doc_id, arg_min(phone, (p, line_no, pos)) as phone from z where phone is not null group by doc_id)"""
+
+
+E2_SQL = f"""
+with {_phone_ctes("select doc_id, text from documents")}
 select documents.doc_id, w.phone from documents left join w using (doc_id)
 """
 
@@ -293,12 +301,17 @@ from {r.CONTACT_FROM}
 
 
 def _e10_pages(spark, sf):
-    return extract_contacts(_pages(spark, sf), CFG).select("page_id", "url", "company_name", "email")
+    return extract_contacts(_pages(spark, sf), CFG).select(*E10_PAGES_COLUMNS)
 
 
+#: Person, position, state and city of raw pages follow rules that SQL cannot restate; rendered pages hold them.
+E10_PAGES_COLUMNS = ["page_id", "url", "company_name", "email", "phone", "country"]
+_COUNTRY_IN_TEXT = f"list_filter([{sql_list(CFG.countries)}], lambda c: regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || c || '([^A-Za-z0-9_]|$)'))[1]"
 E10_PAGES_SQL = f"""
-with e as ({_first_email_sql('pages', 'page_id', 'html')})
-select page_id, url, 'Example' as company_name, email from pages join e using (page_id)
+with e as ({_first_email_sql('pages', 'page_id', 'html')}), {TEXT_CTE.strip()},
+     {_phone_ctes("select page_id as doc_id, text from t")}
+select page_id, pages.url, 'Example' as company_name, email, w.phone, {_COUNTRY_IN_TEXT} as country
+from pages join e using (page_id) join t using (page_id) left join w on w.doc_id = page_id
 """
 
 # ---- S5, P6, P7 -----------------------------------------------------------------
