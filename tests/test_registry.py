@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -28,3 +31,12 @@ def test_query_equals_sql(spark, con, name):
 def test_contract(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert contract.entry(spark).columns
+
+
+def test_all_else_works_without_the_training_data_folders(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    script = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", script], cwd=copy, capture_output=True, text=True, check=True).stdout
+    assert out.split() == [str(len(ENTRIES)), str(sum(sql is not None for _, sql in ENTRIES.values())), "False"]
