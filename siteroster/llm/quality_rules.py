@@ -67,12 +67,24 @@ def base_counts(docs: DataFrame, carry: bool = False) -> DataFrame:
     return counted.select(F.explode(F.array(F.struct("*"))).alias("counts")).select("counts.*") if carry else counted
 
 
-def _normal_lines() -> Column:
-    """Normalised lines of the text that hold a word: white space squeezed for the whole text at once, A-Z lower-cased."""
-    # single spaces, the most of white space, are left alone
-    squeezed = ascii_lower(F.regexp_replace(
-        text_or_empty(), r"\x20*[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20{2,}", " "))
-    return F.filter(F.transform(F.split(squeezed, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
+def _with_normal_lines(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The ``columns`` of ``docs`` and ``all``: the lines of the text that hold a word, white space squeezed, A-Z lower-cased.
+
+    White space is brought down to single spaces for the whole text at once, by plain
+    replacements where they do: patterns and translations cost many times as much a
+    character. Steps are columns of their own, as each is used more than once.
+    """
+    spaced = text_or_empty()
+    for c in SPACE_CHARS:
+        if c not in " \n":
+            spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    rows = docs.withColumn("all", F.struct(F.struct(*columns).alias("row"), spaced.alias("text"))).select("all.row", "all.text")
+    text = F.col("text")
+    rows = rows.select("row", F.when(text.contains("  "), F.regexp_replace(text, " {2,}", " ")).otherwise(text).alias("text"))
+    # without other characters than ASCII both ways of lower-casing agree
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    lines = F.filter(F.transform(F.split(lower, "\n", -1), lambda line: F.trim(line)), lambda line: line != "")
+    return rows.select("row.*", lines.alias("all"))
 
 
 def _text_key() -> Column:
@@ -84,9 +96,11 @@ def boilerplate_lines(docs: DataFrame, min_docs: int, share: float, by_text: boo
 
     With ``by_text`` the different texts of a host are counted in place of its documents.
     """
-    hashes = F.array_distinct(F.transform(_normal_lines(), lambda line: F.xxhash64(line)))
+    hashes = F.array_distinct(F.transform("all", lambda line: F.xxhash64(line)))
     # the text's own values come first: beside the generator they would be worked out for every line
-    counted = docs.select("source", _text_key(), hashes.alias("all")).select("source", "text_key", F.explode("all").alias("line"))
+    counted = _with_normal_lines(docs, "source", _text_key()).select("source", "text_key", hashes.alias("all"))
+    # an inner explode would have the optimizer test each array's size, and work it out twice
+    counted = counted.select("source", "text_key", F.explode_outer("all").alias("line")).where("line is not null")
     if by_text:
         counted = counted.distinct()
         docs = docs.select("source", _text_key()).distinct()
@@ -100,11 +114,14 @@ def boilerplate_lines(docs: DataFrame, min_docs: int, share: float, by_text: boo
 
 def _line_words(docs: DataFrame) -> DataFrame:
     """A row per line of each document, with the words of that line; no row carries the other lines."""
-    place = F.transform(_normal_lines(), lambda line: F.struct(
-        F.xxhash64(line).alias("line"), F.size(F.split(line, " ")).alias("line_words")))
-    each = docs.select("doc_id", "source", _text_key(), F.size(words(text_or_empty())).alias("text_words"), place.alias("all"))
-    each = each.select("doc_id", "source", "text_key", "text_words", F.posexplode("all").alias("place", "value"))
-    return each.select("doc_id", "source", "text_key", "text_words", "place", "value.line", "value.line_words")
+    place = F.transform("all", lambda line: F.struct(
+        F.xxhash64(line).alias("line"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("line_words")))
+    each = _with_normal_lines(docs, "doc_id", "source", _text_key()).select(
+        "doc_id", "source", "text_key", place.alias("all"))
+    # lines hold all words of a text
+    each = each.withColumn("text_words", F.aggregate("all", F.lit(0), lambda n, line: n + line["line_words"]))
+    each = each.select("doc_id", "source", "text_key", "text_words", F.posexplode_outer("all").alias("place", "value"))
+    return each.where("value is not null").select("doc_id", "source", "text_key", "text_words", "place", "value.line", "value.line_words")
 
 
 def removed_words(docs: DataFrame, min_docs: int, share: float, by_text: bool = False) -> DataFrame:
