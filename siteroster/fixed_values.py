@@ -170,31 +170,10 @@ PERSON_PATTERNS = [
 ]
 
 # ---- sample inputs (every list is a parameter) ---------------------------
-SAMPLE_QUERIES = [
-    "CSSD distributor in Africa",
-    "Sterilization Reel distributor in Africa",
-    "Sterilization pouches distributor in Africa",
-    "Sterilization rolls supplier in Africa",
-    "Doctor Gown distributor in Africa",
-    "Sterile Gown supplier in Africa",
-]
-SAMPLE_EXCLUDED_SITES = [
-    "alibaba.com", "amazon.", "ebay.", "aliexpress.com", "indiamart.com", "tradeindia.com",
-    "made-in-china.com", "walmart.com", "etsy.com", "linkedin.com", "wikipedia.org",
-    "twitter.com", "instagram.com",
-]
-SAMPLE_CATEGORIES = [
-    "Sterilization and Infection Control", "infection control", "pouch", "indicator",
-    "sterility", "biological indicator", "chemical indicator", "steam sterilizer",
-    "EO sterilization", "plasma sterilization", "aseptic bags", "sterilization reels",
-    "sterilization pouches", "sterility monitoring", "indicator strips", "autoclave tape",
-    "surgeon gown", "isolation gown", "sterile gown", "sterilization", "sterile",
-    "CSSD Consumables",
-]
-SAMPLE_COUNTRIES = [
-    "Algeria", "Angola", "Botswana", "Egypt", "Ghana", "Kenya", "Morocco", "Namibia",
-    "Nigeria", "South Africa", "Tanzania", "Tunisia", "Uganda", "Zambia", "Zimbabwe",
-]
+SAMPLE_QUERIES = ["cargo bike workshop Denmark", "wheel builder Sweden", "bicycle parts wholesale Norway"]
+SAMPLE_EXCLUDED_SITES = ["marketplace.", "classifieds.", "encyclopedia."]
+SAMPLE_CATEGORIES = ["cargo bike", "wheel set", "brake pad", "inner tube", "bike"]
+SAMPLE_COUNTRIES = ["Denmark", "Finland", "Iceland", "Norway", "Sweden"]
 SAMPLE_COUNTRY_KEYWORDS = ["Country:", "Location:", "Address:", "Headquarters:", "Based in"]
 SAMPLE_CONTACT_KEYWORDS = [
     "contact", "about", "company", "directory", "support", "reach", "locations",
