@@ -32,13 +32,14 @@ NODE_TYPE = T.StructType(
 cloudpickle.register_pickle_by_value(page_reader)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, emails: bool = True) -> DataFrame:
     """Replace ``html`` by ``emails`` (raw hits), ``pieces`` and ``nodes``; one row per page.
 
-    Other columns ride along.  Work is cut into small Arrow batches by size of
+    Other columns ride along. Rules that read no e-mail address spare the search of
+    the HTML for them with ``emails=False``.  Work is cut into small Arrow batches by size of
     the HTML, so a run of huge pages does not pile up in one Python worker.
     """
-    source = pages.withColumn("emails", all_emails("html"))
+    source = pages.withColumn("emails", all_emails("html")) if emails else pages
     html_index = source.columns.index("html")
     schema = T.StructType(
         [f for f in source.schema.fields if f.name != "html"]

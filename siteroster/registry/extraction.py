@@ -53,14 +53,14 @@ t as (select page_id, url,
 
 
 def _e0_text(spark, sf):
-    return page_text(parse_pages(_pages(spark, sf)))
+    return page_text(parse_pages(_pages(spark, sf), emails=False))
 
 
 E0_TEXT_SQL = f"with {TEXT_CTE} select page_id, url, text from t"
 
 
 def _e0_lines(spark, sf):
-    return page_lines(parse_pages(_pages(spark, sf)))
+    return page_lines(parse_pages(_pages(spark, sf), emails=False))
 
 
 E0_LINES_SQL = f"""
@@ -71,7 +71,7 @@ select page_id, cast(generate_subscripts(ls, 1) - 1 as int) as line_no, unnest(l
 
 
 def _e0_links(spark, sf):
-    return page_links(parse_pages(_pages(spark, sf)))
+    return page_links(parse_pages(_pages(spark, sf), emails=False))
 
 
 E0_LINKS_SQL = """
@@ -84,7 +84,7 @@ from u
 
 
 def _e0_nodes(spark, sf):
-    return page_nodes(parse_pages(_pages(spark, sf))).groupBy("page_id", "tag").agg(
+    return page_nodes(parse_pages(_pages(spark, sf), emails=False)).groupBy("page_id", "tag").agg(
         F.count("*").alias("n")
     )
 
@@ -99,7 +99,7 @@ from u join c using (page_id) group by page_id, tag
 
 
 def _e0_jsonld(spark, sf):
-    return page_jsonld(parse_pages(r.contact_pages(spark, sf)))
+    return page_jsonld(parse_pages(r.contact_pages(spark, sf), emails=False))
 
 
 E0_JSONLD_SQL = f"""
@@ -114,7 +114,7 @@ union all select c_custkey, k + 1, '{{"@type":"Place","address":{{"addressRegion
 
 def _j6(spark, sf):
     pairs = page_containment(
-        parse_pages(_pages(spark, sf)), lambda n: n["tag"] == "nav", lambda n: n["tag"] == "a"
+        parse_pages(_pages(spark, sf), emails=False), lambda n: n["tag"] == "nav", lambda n: n["tag"] == "a"
     )
     return pairs.groupBy("page_id", "ancestor_tag", "descendant_tag", "descendant_text").agg(
         F.count("*").alias("n")
@@ -224,7 +224,7 @@ CATEGORIES = ["the", "quell", "Ist ", "nter", "the", "sterile", "ENTAI"]
 
 
 def _e6(spark, sf):
-    parsed = with_text(parse_pages(_pages(spark, sf)))
+    parsed = with_text(parse_pages(_pages(spark, sf), emails=False))
     named = F.array_join(contact.products(F.col("text"), CATEGORIES), ", ")
     return parsed.select("page_id", named.alias("products"))
 
@@ -328,7 +328,7 @@ RESULT_HTML = " || ".join([
 
 def _s5(spark, sf):
     pages = _pages(spark, sf).withColumn("html", F.expr(RESULT_HTML))
-    return parse_result_pages(parse_pages(pages), ["spam-farm"])
+    return parse_result_pages(parse_pages(pages, emails=False), ["spam-farm"])
 
 
 S5_SQL = """
@@ -341,7 +341,7 @@ union all select page_id, 'Same', case when spare then 1 else 2 end, 'https://la
 
 
 def _p6(spark, sf):
-    return flag_ecommerce(with_text(parse_pages(r.shop_pages(spark, sf))), CFG.ecommerce_indicators)
+    return flag_ecommerce(with_text(parse_pages(r.shop_pages(spark, sf), emails=False)), CFG.ecommerce_indicators)
 
 
 P6_SQL = f"""

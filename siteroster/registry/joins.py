@@ -38,7 +38,7 @@ def _homes(spark, sf):
 
 
 def _j1(spark, sf):
-    found = find_subpage(parse_pages(_homes(spark, sf)), CFG.contact_keywords)
+    found = find_subpage(parse_pages(_homes(spark, sf), emails=False), CFG.contact_keywords)
     return found.select("url", "subpage_url")
 
 
