@@ -280,7 +280,8 @@ def _site_stream(spark, sf) -> str:
     for i in range(3):
         # the source reads files in the order of their writing
         pages.where(batch == i).coalesce(1).write.mode("append").parquet(path)
-    stream_sites(read_page_stream(spark, path, files_per_batch=1), CFG, sink, state).awaitTermination()
+    stream_sites(read_page_stream(spark, path, files_per_batch=1), CFG, sink, state,
+                 partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return sink
 
 
@@ -318,7 +319,7 @@ def _st1(spark, sf):
 
 
 def _st2(spark, sf):
-    sink = _streamed(spark, sf, unique_domains=True)
+    sink = _streamed(spark, sf, unique_domains=True, partitions=spark.sparkContext.defaultParallelism)
     rows = spark.read.parquet(sink).groupBy(extract_domain("url").alias("domain"))
     return rows.agg(F.count("*").alias("n_rows"))
 

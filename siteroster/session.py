@@ -41,6 +41,11 @@ STATE_STORE = {
 }
 
 
+def state_settings(partitions: int | None) -> dict[str, str]:
+    """Settings to start a stateful stream with; the number of its state's partitions then stays for the checkpoint's life."""
+    return STATE_STORE if partitions is None else {**STATE_STORE, "spark.sql.shuffle.partitions": str(partitions)}
+
+
 @contextmanager
 def session_settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
     """Settings for the plans and streams that are started inside; the session's own ones come back."""

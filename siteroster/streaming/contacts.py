@@ -22,7 +22,7 @@ from siteroster.functions.urls import extract_domain
 from siteroster.operators.filters import CONTACT_FIELDS
 from siteroster.operators.similar import deduplicate
 from siteroster.plans.contacts import extract_contacts
-from siteroster.session import STATE_STORE, session_settings
+from siteroster.session import session_settings, state_settings
 from siteroster.sources.output import to_output
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
@@ -123,12 +123,14 @@ def stream_contacts(
     on_progress: Callable[[int, DataFrame], None] | None = None,
     on_metrics: Callable[[Progress], None] | None = None,
     total: int | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Contact rows of each arriving batch of pages (ST1); with ``unique_domains``
     only the first row per site over all batches (ST2).
 
     ``on_progress(batch_id, sink_rows)`` and ``on_metrics(progress)`` run after each
-    batch; stopping the query keeps what was written.
+    batch; stopping the query keeps what was written. ``partitions`` is the number of
+    partitions of the seen domains' state, the session's shuffle partitions unless given.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -138,7 +140,7 @@ def stream_contacts(
             on_progress(batch_id, batch.sparkSession.read.parquet(sink))
 
     source = first_of_domains(extract_contacts(pages, config)) if unique_domains else pages
-    with session_settings(pages.sparkSession, STATE_STORE):
+    with session_settings(pages.sparkSession, state_settings(partitions)):
         return (
             source.writeStream.foreachBatch(handle)
             .option("checkpointLocation", checkpoint)

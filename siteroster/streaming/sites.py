@@ -32,7 +32,7 @@ from siteroster.operators.filters import is_shop, relevance_score
 from siteroster.operators.ranking import first_per_key
 from siteroster.operators.similar import deduplicate
 from siteroster.plans.contacts import contact_rows, read_parsed
-from siteroster.session import STATE_STORE, session_settings
+from siteroster.session import session_settings, state_settings
 from siteroster.sources.output import to_output
 from siteroster.streaming.contacts import Progress, write_batch
 
@@ -134,15 +134,19 @@ def stream_sites(
     checkpoint: str,
     on_metrics: Callable[[Progress], None] | None = None,
     total: int | None = None,
+    partitions: int | None = None,
 ) -> StreamingQuery:
-    """Versions of filled home pages, one sink partition per batch; stopping the query keeps what was written."""
+    """Versions of filled home pages, one sink partition per batch; stopping the query keeps what was written.
+
+    ``partitions`` is the number of partitions of the state, the session's shuffle partitions unless given.
+    """
     keeper = SitePages(keyword_slugs(config.contact_keywords), keyword_slugs(fv.ABOUT_KEYWORDS))
     met = page_facts(pages, config).groupBy("domain").transformWithStateInPandas(keeper, SENT, "update", "none")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(filled(batch), sink, batch_id, on_metrics, total)
 
-    with session_settings(pages.sparkSession, STATE_STORE):
+    with session_settings(pages.sparkSession, state_settings(partitions)):
         return met.writeStream.outputMode("update").foreachBatch(handle).option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
