@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from pathlib import Path
 
 from siteroster.config import DirectoryConfig
 from siteroster.session import session_settings
@@ -69,6 +70,29 @@ def test_first_row_of_a_domain_over_batches(spark, tmp_path):
     assert [(p.rows, p.completed, p.found) for p in plans] == [(2, 2, 1), (1, 3, 2)]
 
 
+def test_a_batch_of_one_file_is_read_by_many_tasks(spark, tmp_path):
+    pages = [(i, f"https://f{i}.org/", f"<p>mail@f{i}.org</p>") for i in range(64)]
+    sink = run(spark, tmp_path, [pages], "one", stream_contacts)
+    # a task leaves a file
+    assert len(list(Path(sink, "batch_id=0").glob("*.parquet"))) > 1
+    rows = spark.read.parquet(sink).collect()
+    assert {(r.page_id, r.email) for r in rows} == {(i, f"mail@f{i}.org") for i in range(64)} and len(rows) == 64
+
+
+def test_pages_of_a_site_stream_are_dealt_before_they_are_read(spark, tmp_path, capsys):
+    queries = []
+
+    def start(*where, **options):
+        queries.append(stream_sites(*where, **options))
+        return queries[0]
+
+    run(spark, tmp_path, [site("mercantile", 1)], "dealt", start)
+    queries[0].explain()
+    plan = capsys.readouterr().out
+    # the plan is printed from the last step to the first: the pages meet by site, were parsed, and were dealt before that
+    assert 0 < plan.index("TransformWithState") < plan.index("MapInArrow") < plan.rindex("RoundRobinPartitioning")
+
+
 def test_settings_come_back(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
