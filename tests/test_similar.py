@@ -73,6 +73,33 @@ def test_bigrams_are_numbered_and_keys_grow_with_the_length(spark):
             assert len(r.key) < 32 or r["count"] <= len(r.key)
 
 
+def test_names_of_few_letters_share_few_keys(spark):
+    """Digests have 256 bigrams: names that are not alike met under nearly each other's keys."""
+    rng = random.Random(5)
+    names = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(300)]
+    table = spark.createDataFrame([(n, (i,)) for i, n in enumerate(names)], "key string, ord struct<i:int>")
+    keys = similar.blocking_keys(table, 0.85)
+    sizes = [r["count"] for r in keys.groupBy("sig").count().collect()]
+    assert sum(n * (n - 1) // 2 for n in sizes) < 0.25 * len(names) * (len(names) - 1) / 2
+    plain = [n[i:i + 3] for n in ["aaaaa", "ababab", "abcabc"] for i in range(len(n) - 2)]
+    table = spark.createDataFrame([("aaaaa",), ("ababab",), ("abcabc",)], "key string")
+    got = [g for r in table.select(similar._grams(F.col("key"), 3).alias("g")).collect() for g in r.g]
+    assert [g[:3] for g in got] == plain
+    assert [g[3:] for g in got] == ["1", "2", "3", "1", "1", "2", "2", "1", "1", "1", "2"]
+
+
+@pytest.mark.parametrize("seed,t", [(31, 0.84), (32, 0.85), (33, 0.9), (34, 0.97)])
+def test_short_and_long_names_of_two_letters_equal_brute_force(spark, seed, t):
+    rng = random.Random(seed)
+    stems = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 26))) for _ in range(60)]
+    names = stems + [s[:i] + rng.choice(["", "a", "bc"]) + s[i + 1:] for s in stems for i in [rng.randrange(len(s))]]
+    keys = list(dict.fromkeys(n.lower().strip() for n in names))
+    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1:] if alike(a, b, t)}
+    for key_size in (1, 2):
+        got = similar_name_pairs(frame(spark, names), ["ord"], threshold=t, key_size=key_size)
+        assert {tuple(r) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("seed,t", [(21, 0.67), (22, 0.7), (23, 0.75), (24, 0.8)])
 def test_low_thresholds_equal_brute_force(spark, seed, t):
     names = make_names(seed, 120) + ["ab", "axb", "ba", "abc", "a", "b", "cab", "xyzab", "zyxba"]
