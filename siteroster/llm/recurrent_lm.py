@@ -13,6 +13,7 @@ document starts. Scoring carries the state the same way through whole documents.
 
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
@@ -57,6 +58,17 @@ class Vocabulary:
         self.word_log = np.log(word + 0.5).reshape(-1, WIDTH).astype(np.float32)
         self.word_log[word.reshape(-1, WIDTH) == 0] = -20.0
 
+    def of_inputs(self) -> Vocabulary:
+        """This vocabulary with ids that are the model's inputs (head words and bins), which is all that fitting and scoring need;
+        the words' shares of their bins are left out."""
+        small = copy.copy(self)
+        del small.number, small.other, small.counts, small.log_count
+        ids = np.arange(START)
+        small.cls = np.where(ids < HEAD, ids // WIDTH, HEAD // WIDTH + ids - HEAD).astype(np.int32)
+        small.slot = np.where(ids < HEAD, ids % WIDTH, -1).astype(np.int32)
+        small.token_in, small.within = ids.astype(np.int32), np.zeros(START)
+        return small
+
 
 def lanes(lengths: list[int], most: int) -> list[list[int]]:
     """Documents dealt to lanes of about equal length, longest first; lanes in falling order of length."""
@@ -96,7 +108,7 @@ def _softmax(scores: np.ndarray, bias: np.ndarray, top: float, safe: bool) -> np
 
 def _sum_rows(rows: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different places in order, and the sum of each one's rows."""
-    order = np.argsort(places, kind="stable")
+    order = np.argsort(places.astype(np.uint16), kind="stable")
     sorted_places = places[order]
     first = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
     return sorted_places[first], np.add.reduceat(rows[order], first, axis=0)
@@ -125,29 +137,31 @@ class Model:
     def run(self, tokens: np.ndarray, resets: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each step of a window; rows are steps. With ``keep`` also what backpropagation needs."""
         p, n = self.p, HIDDEN
-        states, kept = np.empty((*tokens.shape, n), np.float32), []
-        given = p["inputs"][tokens]
+        states, kept = np.empty((len(tokens), n, tokens.shape[1]), np.float32), []
+        # inside, lanes are the last axis, so that a gate's values lie together
+        inputs, state = np.ascontiguousarray(p["inputs"].T), np.ascontiguousarray(p["state"].T)
+        h, reset = np.ascontiguousarray(h.T), resets.any(axis=1)
         for t in range(len(tokens)):
-            if resets[t].any():
-                h = h * ~resets[t][:, None]
-            x, u = given[t], h @ p["state"]
-            gates = _sigmoid(x[:, :2 * n] + u[:, :2 * n])
-            z, r, inner = gates[:, :n], gates[:, n:], u[:, 2 * n:]
-            new = r * inner
-            new += x[:, 2 * n:]
+            if reset[t]:
+                h = h * ~resets[t]
+            x, u = inputs.take(tokens[t], axis=1), state @ h
+            x[:2 * n] += u[:2 * n]
+            gates = _sigmoid(x[:2 * n])
+            z, r, inner, new = gates[:n], gates[n:], u[2 * n:], x[2 * n:]
+            new += r * inner
             np.tanh(new, out=new)
             if keep:
                 kept.append((h, z, r, new, inner))
             h = np.subtract(h, new, out=states[t])
             h *= z
             h += new
-        return states, h.copy(), kept
+        return states.transpose(0, 2, 1), h.T.copy(), kept
 
     def outputs(self, states: np.ndarray, cls: np.ndarray, slot: np.ndarray, gradient: dict | None = None):
         """Natural log P(class) P(word | class) of flat states; with ``gradient`` also the states' gradients."""
         p = self.p
         # rows of a class lie together, so its part of every array is a view
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
         states, cls, slot = states[order], cls[order], slot[order]
         rows = np.arange(len(cls))
         scores = states @ p["cls"]
@@ -187,27 +201,32 @@ class Model:
 def backward(model: Model, tokens: np.ndarray, resets: np.ndarray, kept: list, d_states: np.ndarray, g: dict) -> None:
     """Backpropagation through a window: adds the gradients of ``inputs`` and ``state`` to ``g``."""
     n, steps, live = HIDDEN, *tokens.shape
+    # as in ``run``, lanes are the last axis; what all steps add up has lanes as rows
     d_x, d_u = np.empty((2, steps, live, 3 * n), np.float32)
-    d_h = np.zeros((live, n), np.float32)
-    turned = np.ascontiguousarray(model.p["state"].T)
+    x, u = np.empty((2, 3 * n, live), np.float32)
+    d_z, d_r, d_new = x[:n], x[n:2 * n], x[2 * n:]
+    d_h, d_states = np.zeros((n, live), np.float32), d_states.transpose(0, 2, 1)
+    turned, reset = np.ascontiguousarray(model.p["state"].T), resets.any(axis=1)
     for t in range(steps - 1, -1, -1):
         before, z, r, new, inner = kept[t]
         d_h += d_states[t]
-        d_new = d_h * (1 - z)
+        off = 1 - z
+        np.multiply(d_h, off, out=d_new)
         d_new *= 1 - new * new
-        d_z = d_h * (before - new)
-        d_z *= z * (1 - z)
-        d_r = d_new * inner
+        np.subtract(before, new, out=d_z)
+        d_z *= d_h
+        off *= z
+        d_z *= off
+        np.multiply(d_new, inner, out=d_r)
         d_r *= r * (1 - r)
-        x, u = d_x[t], d_u[t]
-        x[:, :n], x[:, n:2 * n], x[:, 2 * n:] = d_z, d_r, d_new
-        u[:, :2 * n] = x[:, :2 * n]
-        np.multiply(d_new, r, out=u[:, 2 * n:])
+        u[:2 * n] = x[:2 * n]
+        np.multiply(d_new, r, out=u[2 * n:])
+        d_x[t], d_u[t] = x.T, u.T
         d_h *= z
-        d_h += u @ turned
-        if resets[t].any():
-            d_h *= ~resets[t][:, None]
-    g["state"] += np.concatenate([k[0] for k in kept]).T @ d_u.reshape(-1, 3 * n)
+        d_h += (d_u[t] @ turned).T
+        if reset[t]:
+            d_h *= ~resets[t]
+    g["state"] += np.concatenate([k[0].T for k in kept]).T @ d_u.reshape(-1, 3 * n)
     places, sums = _sum_rows(d_x.reshape(-1, 3 * n), tokens.ravel())
     g["inputs"][places] += sums
 
